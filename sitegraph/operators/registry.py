@@ -66,12 +66,22 @@ def site_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) -> Da
     return crawl_totals(visit(discovered, snapshot, unique, hook), discovered)
 
 
-def execute_tasks(tasks: DataFrame, snapshot: DataFrame, unique: bool = False, hook=default_hook) -> DataFrame:
-    """One result row per task: task_id, task_type, status, error and the RESULT columns."""
-    checked = validate_tasks(tasks, supported_task_types())
+def execute_tasks(
+    tasks: DataFrame,
+    snapshot: DataFrame,
+    unique: bool = False,
+    hook=default_hook,
+    handlers: dict[str, Handler] | None = None,
+) -> DataFrame:
+    """One result row per task: task_id, task_type, status, error and the RESULT columns.
+
+    `handlers` adds to, or replaces, registered handlers for this call.
+    """
+    table = {**_HANDLERS, **(handlers or {})}
+    checked = validate_tasks(tasks, sorted(table))
     valid = checked.where(F.col("status").isNull()).drop("status", "error")
     by_handler: dict[Handler, list[str]] = {}
-    for name, fn in sorted(_HANDLERS.items()):
+    for name, fn in sorted(table.items()):
         by_handler.setdefault(fn, []).append(name)
 
     def run(fn: Handler, names: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ ARCHIVE = "_posted"
 _CORRUPT = "_corrupt_record"
 # `<dir>/<dir>/<file>` of the node layout and of our own writer, and files nearer the root. Explicit
 # globs, because a recursive listing hides directories such as `_unfiled`.
-_LAYOUT = "/{*,*/*,*/*/*}.{jsonl,json}"
+_LAYOUT = "/{*,*/*,*/*/*}"
+SUFFIXES = "jsonl,json"
 _READ_SCHEMA = T.StructType([*LOG_LINE.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
@@ -50,18 +51,24 @@ def _keep_valid(lines: DataFrame) -> DataFrame:
     return lines.where(~archived & F.col(_CORRUPT).isNull()).select(*LOG_LINE.names)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def _files(path: str, suffixes: str) -> str:
+    return f"{path.rstrip('/')}{_LAYOUT}.{{{suffixes}}}"
+
+
+def read_log(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFrame:
     """All valid lines below `path`; blank and corrupt lines and the archive are skipped."""
     return _keep_valid(
-        spark.read.schema(_READ_SCHEMA).option("columnNameOfCorruptRecord", _CORRUPT).json(path.rstrip("/") + _LAYOUT)
+        spark.read.schema(_READ_SCHEMA).option("columnNameOfCorruptRecord", _CORRUPT).json(_files(path, suffixes))
     )
 
 
-def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+def stream_log(
+    spark: SparkSession, path: str, files_per_trigger: int = 1000, suffixes: str = SUFFIXES
+) -> DataFrame:
     """The same lines as a stream over files as they land."""
     return _keep_valid(
         spark.readStream.schema(_READ_SCHEMA)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path.rstrip("/") + _LAYOUT)
+        .json(_files(path, suffixes))
     )
