@@ -23,7 +23,9 @@ def retry_wait(retry_after: Column, cap: float = RETRY_CAP) -> Column:
     """Seconds to wait: a number clamped to 0..cap, the default when missing or not a number."""
     text = strip(retry_after)
     number = F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text.try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(number, F.lit(cap))), F.least(F.lit(RETRY_DEFAULT), F.lit(cap)))
+    # greatest and least skip NULL, so the default comes first.
+    wait = F.coalesce(number, F.lit(RETRY_DEFAULT))
+    return F.greatest(F.lit(0.0), F.least(wait, F.lit(float(cap))))
 
 
 def server_verdict(has_reply: Column, saved: Column) -> Column:

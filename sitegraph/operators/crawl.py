@@ -74,12 +74,13 @@ def bfs_rank(new: DataFrame, rows: int | None = None) -> DataFrame:
             "url",
             "parent_rank",
             "total + row_number() OVER (PARTITION BY start ORDER BY parent_rank, pos) AS rank",
+            "depth",
         )
     bucket = F.floor(F.col("parent_rank") / _PARENTS)
     placed = number_rows(new, ["start"], bucket, [F.col("parent_rank"), F.col("pos")], "_place")
     added = new.groupBy("start").agg(F.count(F.lit(1)).alias("_added"))
     return placed.join(added, "start").selectExpr(
-        "start", "budget", "total + _added AS total", "url", "parent_rank", "total + _place AS rank"
+        "start", "budget", "total + _added AS total", "url", "parent_rank", "total + _place AS rank", "depth"
     )
 
 
@@ -102,29 +103,30 @@ def expand_level(level: DataFrame, edges: DataFrame) -> DataFrame:
 def rank_sites(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Every URL each `start` discovers within its `budget`: start, url, rank, depth, parent_rank.
 
-    Level-synchronous; the driver only learns how many rows a level has. Each level is one
-    checkpoint, so a lost executor costs at most the current level.
+    Level-synchronous; the driver only learns how many rows a level has. The unranked rows of each
+    level are checkpointed, so a lost executor costs at most the current level, and ranks are
+    computed from them where they are needed.
     """
-    level = cut(
-        starts.selectExpr(
-            "start", "budget", "1L AS total", "start AS url", "0L AS parent_rank", "1L AS rank", "0 AS depth"
-        )
+    found = cut(
+        starts.selectExpr("start", "budget", "0L AS total", "start AS url", "0L AS parent_rank", "0 AS pos", "0 AS depth")
     )
-    levels = [level]
+    rows = found.count()
+    seen = found.select("start", "url")
+    done: list[DataFrame] = []
     depth = 0
-    while True:
+    while rows > 0:
+        level = bfs_rank(found, rows)
+        done.append(level)
         depth += 1
-        seen = reduce(DataFrame.union, levels)
-        new = frontier_minus_seen(expand_level(level, edges), seen, ["start", "url"]).persist()
-        rows = new.count()
-        if rows == 0:
-            new.unpersist()
-            return seen.select("start", "url", "rank", "depth", "parent_rank")
-        level = cut(bfs_rank(new, rows).withColumn("depth", F.lit(depth)))
-        new.unpersist()
-        levels.append(level)
-        if len(levels) > _COMPACT_EVERY:
-            levels = [cut(reduce(DataFrame.union, levels))]
+        new = frontier_minus_seen(expand_level(level, edges), seen, ["start", "url"])
+        found = cut(new.withColumn("depth", F.lit(depth)))
+        rows = found.count()
+        seen = seen.union(found.select("start", "url"))
+        if depth % _COMPACT_EVERY == 0:
+            seen, done = cut(seen), [cut(reduce(DataFrame.union, done))]
+    if not done:
+        done = [bfs_rank(found)]
+    return reduce(DataFrame.union, done).select("start", "url", "rank", "depth", "parent_rank")
 
 
 def discover(

@@ -331,8 +331,8 @@ def is_html(spark, sf_dir):
 
 
 @query(
-    "SELECT fetch_id, coalesce(greatest(0.0::DOUBLE, least(8.0::DOUBLE, try_cast(retry_after AS DOUBLE))), 2.0::DOUBLE) "
-    "AS wait_seconds FROM responses",
+    "SELECT fetch_id, CASE WHEN w IS NULL THEN 2.0::DOUBLE WHEN w < 0 THEN 0.0 WHEN w > 8 THEN 8.0 ELSE w END AS "
+    "wait_seconds FROM (SELECT fetch_id, try_cast(retry_after AS DOUBLE) AS w FROM responses)",
     "responses",
 )
 def retry_wait_seconds(spark, sf_dir):

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitegraph.functions.paths import log_dirs, slug
 from sitegraph.schemas import LOG_LINE
 
 ARCHIVE = "_posted"
-_CORRUPT = "_corrupt_record"
 # `<dir>/<dir>/<file>` of the node layout and of our own writer, and files nearer the root. Explicit
 # globs, because a recursive listing hides directories such as `_unfiled`.
 _LAYOUT = "/{*,*/*,*/*/*}"
 SUFFIXES = "jsonl,json"
-_READ_SCHEMA = T.StructType([*LOG_LINE.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
 def log_path(log: DataFrame) -> DataFrame:
@@ -46,9 +43,17 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     filed.write.mode(mode).partitionBy("client_dir", "lead_dir").json(path)
 
 
-def _keep_valid(lines: DataFrame) -> DataFrame:
+def _parse(lines: DataFrame) -> DataFrame:
+    """Text lines to log columns.
+
+    Any JSON object is a record; a field of another type than expected is NULL and does not make
+    its line corrupt, which is why the lines are parsed as variants and not with the schema.
+    """
     archived = F.col("_metadata.file_path").contains(f"/{ARCHIVE}/")
-    return lines.where(~archived & F.col(_CORRUPT).isNull()).select(*LOG_LINE.names)
+    parsed = lines.where(~archived & F.col("value").rlike(r"^\s*\{")).select(F.try_parse_json("value").alias("v"))
+    return parsed.where(F.col("v").isNotNull()).select(
+        *[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in LOG_LINE.fields]
+    )
 
 
 def _files(path: str, suffixes: str) -> str:
@@ -57,18 +62,11 @@ def _files(path: str, suffixes: str) -> str:
 
 def read_log(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFrame:
     """All valid lines below `path`; blank and corrupt lines and the archive are skipped."""
-    return _keep_valid(
-        spark.read.schema(_READ_SCHEMA).option("columnNameOfCorruptRecord", _CORRUPT).json(_files(path, suffixes))
-    )
+    return _parse(spark.read.text(_files(path, suffixes)))
 
 
 def stream_log(
     spark: SparkSession, path: str, files_per_trigger: int = 1000, suffixes: str = SUFFIXES
 ) -> DataFrame:
     """The same lines as a stream over files as they land."""
-    return _keep_valid(
-        spark.readStream.schema(_READ_SCHEMA)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(_files(path, suffixes))
-    )
+    return _parse(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(_files(path, suffixes)))
