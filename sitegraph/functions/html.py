@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import unescape
 from html.entities import html5
 
@@ -27,6 +28,11 @@ _BARE_NAMES = sorted(name for name in html5 if not name.endswith(";"))
 _NEEDS_TABLE = "&(?:#|[A-Za-z][A-Za-z0-9]*;|" + "|".join(_BARE_NAMES) + ")"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
@@ -38,8 +44,12 @@ def is_html(content_type: Column) -> Column:
 
 
 def body(html: Column, content_type: Column | None = None, limit: int = BODY_CHARS) -> Column:
-    """The text a fetch keeps: nothing for other media types, else at most `limit` characters."""
-    kept = F.substring(F.coalesce(html, F.lit("")), 1, limit)
+    """The text a fetch keeps: nothing for other media types, else at most `limit` characters.
+
+    A text of so few bytes has no more characters, and is passed on without scanning or copying it.
+    """
+    text = F.coalesce(html, F.lit(""))
+    kept = F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, 1, limit))
     if content_type is None:
         return kept
     return F.when(is_html(content_type), kept).otherwise(F.lit(""))
@@ -47,17 +57,23 @@ def body(html: Column, content_type: Column | None = None, limit: int = BODY_CHA
 
 def title(html: Column) -> Column:
     """Text of the first title element, undecoded; NULL without one and '' for an empty one."""
-    element = F.nullif(F.regexp_extract(html, TITLE, 0), F.lit(""))
-    return F.substring(strip(F.regexp_extract(element, TITLE, 1)), 1, TITLE_CHARS)
+    return let(
+        F.regexp_extract(html, TITLE, 0),
+        lambda e: F.when(e != "", F.substring(strip(F.regexp_extract(e, TITLE, 1)), 1, TITLE_CHARS)),
+    )
 
 
 def meta_entries(html: Column) -> Column:
-    """Known meta tags in document order as array<struct<key, value>>; repeats are kept."""
-    names = F.regexp_extract_all(html, F.lit(META), F.lit(1))
-    values = F.regexp_extract_all(html, F.lit(META), F.lit(2))
-    tags = F.arrays_zip(names.alias("key"), values.alias("value"))
+    """Known meta tags in document order as array<struct<key, value>>; repeats are kept.
+
+    One pass over the page finds the tags; key and value are then matched inside each short tag.
+    """
     tags = F.transform(
-        tags, lambda t: F.struct(F.lower(t["key"]).alias("key"), F.substring(t["value"], 1, META_CHARS).alias("value"))
+        F.regexp_extract_all(html, F.lit(META), F.lit(0)),
+        lambda t: F.struct(
+            F.lower(F.regexp_extract(t, META, 1)).alias("key"),
+            F.substring(F.regexp_extract(t, META, 2), 1, META_CHARS).alias("value"),
+        ),
     )
     return F.filter(tags, lambda t: t["key"].isin(*META_KEYS))
 

@@ -6,15 +6,13 @@ A URL is split once into a struct<scheme, netloc, path, query>; the rules then w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegraph.functions.html import SPACES
+from sitegraph.functions.html import SPACES, let
 
 # RFC 3986 appendix B, and the lists that define which links are pages.
-SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?.*\z"
 PSEUDO_SCHEMES = ("mailto:", "tel:", "javascript:", "data:")
 PAGE_SCHEMES = ("http", "https")
 PARAM_SCHEMES = ("", "http", "https", "ftp")
@@ -27,12 +25,8 @@ ASSET_HINTS = ("css_combine", "js_combine", "css_cache", "js_cache", ".css?", ".
 
 _CONTROLS = "".join(map(chr, range(0x21)))
 _REPEATED_SEGMENT = r"(^|/)([^/]++)(?:/\2(?=/|\z))++"
-_DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|\z)"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times in `body`."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_DOT_SEGMENT = r"/\.\.?(?:/|\z)"
+_PARAMS = r";[^/]*\z"
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -48,16 +42,12 @@ def clean(url: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """struct<scheme, netloc, path, query>; the scheme is lower-cased, the netloc kept as written."""
-    return let(
-        clean(url),
-        lambda u: F.struct(
-            F.lower(F.regexp_extract(u, SPLIT, 1)).alias("scheme"),
-            F.regexp_extract(u, SPLIT, 2).alias("netloc"),
-            F.regexp_extract(u, SPLIT, 3).alias("path"),
-            F.regexp_extract(u, SPLIT, 4).alias("query"),
-        ),
-    )
+    """struct<scheme, netloc, path, query>; the scheme is lower-cased, the netloc kept as written.
+
+    One regex match: the groups are written as lines, which a clean URL cannot contain.
+    """
+    groups = F.split(F.regexp_replace(clean(url), SPLIT, "$1\n$2\n$3\n$4"), "\n", -1)
+    return let(groups, lambda g: _parts(F.lower(g[0]), g[1], g[2], g[3]))
 
 
 def url_netloc(url: Column) -> Column:
@@ -81,7 +71,11 @@ def url_text(parts: Column, slashes: Column | None = None) -> Column:
 
 def bare_path(path: Column) -> Column:
     """Path without the `;params` of its last segment."""
-    return F.regexp_replace(path, r";[^/]*\z", "")
+    return F.when(path.contains(";"), F.regexp_replace(path, _PARAMS, "")).otherwise(path)
+
+
+def _params(path: Column) -> Column:
+    return F.when(path.contains(";"), F.nullif(F.regexp_extract(path, _PARAMS, 0), F.lit(";")))
 
 
 def canonical_parts(p: Column) -> Column:
@@ -110,14 +104,13 @@ def _fold_dots(path: Column) -> Column:
 def _merge_paths(base: Column, path: Column) -> Column:
     """Path of a relative reference, `;params` of its last segment included."""
     own = bare_path(path)
-    params = F.regexp_extract(path, r";[^/]*\z", 0)
-    directory = F.regexp_extract(bare_path(base), r"^(.*/)?", 0)
-    joined = F.when(own.startswith("/"), own).otherwise(
+    directory = let(bare_path(base), lambda b: F.left(b, F.length(b) - F.length(F.substring_index(b, "/", -1))))
+    joined = F.when(path.startswith("/"), own).otherwise(
         F.regexp_replace(F.concat(F.lit("/"), directory, own), "/{2,}", "/")
     )
-    folded = let(joined, lambda j: F.when(j.rlike(_DOT_SEGMENT), _fold_dots(j)).otherwise(j))
+    folded = let(joined, lambda j: F.when(j.contains("/.") & j.rlike(_DOT_SEGMENT), _fold_dots(j)).otherwise(j))
     rooted = let(folded, lambda f: F.when(f.startswith("/"), f).otherwise(F.concat(F.lit("/"), f)))
-    return F.concat(rooted, F.when(params == ";", F.lit("")).otherwise(params))
+    return F.concat(rooted, F.coalesce(_params(path), F.lit("")))
 
 
 def resolved_parts(b: Column, h: Column) -> Column:
@@ -163,7 +156,7 @@ def has_asset_hint(url: Column) -> Column:
 
 
 def has_asset_query(query: Column) -> Column:
-    return F.lower(query).rlike(r"\.(?:" + "|".join(ASSET_EXTENSIONS) + ")")
+    return query.contains(".") & F.lower(query).rlike(r"\.(?:" + "|".join(ASSET_EXTENSIONS) + ")")
 
 
 def page_links(base: Column, hrefs: Column) -> Column:

@@ -20,8 +20,10 @@ def _links_column() -> Column:
 
 def page_hrefs(snapshot: DataFrame) -> DataFrame:
     """Raw href values with their position, one row each."""
-    found = snapshot.select("page_id", H.hrefs(H.body(F.col("html"), F.col("content_type"))).alias("hrefs"))
-    return found.select("page_id", F.posexplode("hrefs").alias("pos", "href"))
+    # Exploded as an expression: for a column Spark would infer a filter on its size, and evaluate
+    # the pattern over the page a second time.
+    html = H.body(F.col("html"), F.col("content_type"))
+    return snapshot.select("page_id", F.posexplode(H.hrefs(html)).alias("pos", "href"))
 
 
 def link_table(snapshot: DataFrame, unique: bool = False) -> DataFrame:
@@ -36,10 +38,9 @@ def link_table(snapshot: DataFrame, unique: bool = False) -> DataFrame:
         "final_url",
         H.hrefs(H.body(F.col("html"), F.col("content_type"))).alias("hrefs"),
     )
-    decoded = found.withColumn("hrefs", H.decode_hrefs(F.col("hrefs")))
-    links = decoded.select("page_id", "url", F.explode(_links_column()).alias("link"))
-    return keep_first_copies(links, snapshot, unique).select(
-        F.col("url").alias("src_url"),
+    decoded = keep_first_copies(found.withColumn("hrefs", H.decode_hrefs(F.col("hrefs"))), snapshot, unique)
+    return decoded.select(F.col("url").alias("src_url"), F.explode(_links_column()).alias("link")).select(
+        "src_url",
         F.col("link.pos").alias("pos"),
         F.col("link.url").alias("dst_url"),
         F.col("link.host").alias("dst_host"),
