@@ -27,25 +27,24 @@ def final_response(responses: DataFrame) -> DataFrame:
 def fold_attempts(attempts: DataFrame, retries: int = RETRIES, key: str = "page_key") -> DataFrame:
     """Per page: the first of at most `retries` attempts that did not fail decides, else `spooled`.
 
-    backoff_seconds is what was waited before the deciding attempt: 0.5 s, doubled each time. One
-    hash aggregate: failed attempts are kept as bits, whose value below the deciding attempt is the
-    sum of the doublings.
+    backoff_seconds is what was waited before the deciding attempt: 0.5 s, doubled each time. All
+    buffers are numbers, so this is one hash aggregate: the deciding attempt carries its verdict in
+    the lowest bit, and failed attempts are kept as bits, whose value below the deciding attempt is
+    the sum of the doublings.
     """
     used = attempts.where(F.col("attempt").between(1, retries))
-    failed = F.col("verdict") == "failed"
-    bit = F.when(failed, F.expr("shiftleft(1L, cast(attempt - 1 as int))"))
+    answered = "verdict <> 'failed'"
     folded = used.groupBy(key).agg(
-        F.min(F.when(~failed, F.col("attempt"))).alias("_decider"),
-        F.min_by(F.when(~failed, F.col("verdict")), F.when(~failed, F.col("attempt"))).alias("_verdict"),
-        F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("_failed"),
+        F.expr(f"min(CASE WHEN {answered} THEN attempt * 2L + if(verdict = 'saved', 0, 1) END)").alias("_first"),
+        F.expr(f"bit_or(CASE WHEN {answered} THEN 0L ELSE shiftleft(1L, cast(attempt - 1 AS int)) END)").alias("_failed"),
     )
-    last = F.least(F.coalesce(F.col("_decider"), F.lit(retries)), F.lit(retries)).cast("int")
-    before = F.col("_failed").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), last - 1) - 1)
-    return folded.select(
+    outcome = "CASE WHEN _first IS NULL THEN 'spooled' WHEN _first % 2 = 0 THEN 'saved' ELSE 'rejected' END"
+    last = f"cast(coalesce(_first div 2, {retries}) AS int)"
+    return folded.selectExpr(
         key,
-        F.coalesce(F.col("_verdict"), F.lit("spooled")).alias("outcome"),
-        F.col("_decider").cast("long").alias("deciding_attempt"),
-        (before * BACKOFF_SECONDS).alias("backoff_seconds"),
+        f"{outcome} AS outcome",
+        "_first div 2 AS deciding_attempt",
+        f"(_failed & (shiftleft(1L, {last} - 1) - 1)) * cast({BACKOFF_SECONDS} AS double) AS backoff_seconds",
     )
 
 

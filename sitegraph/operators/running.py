@@ -1,8 +1,8 @@
 """Numbering and running totals that do not put a whole key into one task.
 
 A window over one key runs in one task, and one site or task may hold a third of all rows. Here the
-key is cut into buckets that follow the order: each (key, bucket) gets its own window, and the totals
-of the earlier buckets, one row per bucket, are added as an offset.
+key is cut into buckets that follow the order: each (key, bucket) gets its own window, which starts
+from the totals of the earlier buckets.
 """
 
 from __future__ import annotations
@@ -24,47 +24,38 @@ class Running:
     kind: str = "sum"
     inclusive: bool = True
 
-    def over(self, value: Column, window) -> Column:
-        return (F.sum(value) if self.kind == "sum" else F.max(value)).over(window)
+    def over(self, column: str, window) -> Column:
+        return (F.sum(column) if self.kind == "sum" else F.max(column)).over(window)
 
-    def total(self) -> Column:
-        return F.sum(self.value) if self.kind == "sum" else F.max(self.value)
-
-    def combine(self, carried: Column, inner: Column) -> Column:
-        if self.kind == "sum":
-            return F.coalesce(carried, F.lit(0)) + F.coalesce(inner, F.lit(0))
-        return F.greatest(carried, inner)
+    def total(self, column: str) -> Column:
+        return F.sum(column) if self.kind == "sum" else F.max(column)
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], outs: list[Running]) -> DataFrame:
     """Add running columns per key. `bucket` must not decrease along `order` within a key.
 
-    `df` is read twice, so it should be cheap to read again (a checkpoint, a table or a cache).
+    What a bucket starts from joins its rows as one more row in front, so the rows are shuffled
+    once and NULL keys are keys like any other. `df` is read twice, so it should be cheap to read
+    again (a checkpoint, a table or a cache).
     """
-    rows = df.withColumn("_bucket", bucket)
+    values = {o.out: f"_v_{o.out}" for o in outs}
+    rows = df.withColumns({"_bucket": bucket, **{values[o.out]: o.value for o in outs}})
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_bucket").agg(*[o.total().alias(f"_t_{o.out}") for o in outs])
-    carried = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        *[o.over(F.col(f"_t_{o.out}"), before).alias(f"_c_{o.out}") for o in outs],
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    here = rows.select(
-        "*",
-        *[
-            o.over(o.value, inside.rowsBetween(Window.unboundedPreceding, 0 if o.inclusive else -1)).alias(
-                f"_i_{o.out}"
-            )
-            for o in outs
-        ],
+    totals = rows.groupBy(*keys, "_bucket").agg(*[o.total(values[o.out]).alias(values[o.out]) for o in outs])
+    heads = totals.select(
+        *keys, "_bucket", F.lit(0).alias("_row"), *[o.over(values[o.out], before).alias(values[o.out]) for o in outs]
     )
-    same = F.col("_bucket") == F.col("_k_bucket")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = here.join(carried, same)
-    return joined.select(
-        *df.columns, *[o.combine(F.col(f"_c_{o.out}"), F.col(f"_i_{o.out}")).alias(o.out) for o in outs]
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_row", *order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+
+    def result(o: Running) -> Column:
+        value = o.over(values[o.out], so_far if o.inclusive else earlier)
+        return F.coalesce(value, F.lit(0)) if o.kind == "sum" else value
+
+    both = rows.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    return both.select("*", *[result(o).alias(o.out) for o in outs]).where("_row = 1").select(
+        *df.columns, *[o.out for o in outs]
     )
 
 
@@ -76,7 +67,9 @@ def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
 def range_buckets(df: DataFrame, keys: list[str], order: list[str], out: str = "range_bucket") -> DataFrame:
     """Cut the rows into ranges of (keys, order) of about equal size, for any distribution.
 
-    Range bounds are sampled, so the result is checkpointed: a recomputed task must not move rows.
+    Equal rows are told apart by a row id, so a large group of copies is cut as well. Range bounds
+    are sampled, so the result is checkpointed: a recomputed task must not move rows.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-    return cut(ranged.withColumn(out, F.spark_partition_id()))
+    named = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = named.repartitionByRange(*[F.col(c) for c in [*keys, *order, "_tie"]])
+    return cut(ranged.drop("_tie").withColumn(out, F.spark_partition_id()))

@@ -193,11 +193,9 @@ def log_batch_upload(spark, sf_dir):
     log = V.page_log(spark, sf_dir).select("task_id", F.unix_micros("ts").alias("ts"), "url", "outcome", "bytes")
     path = fresh_path(spark, "uploaded")
     batches = written(G.log_batches(log, size=BATCH), "batches")
-    G.upload_batches(batches, path)
+    G.upload_batches(batches, path, buckets=16)
     # The same tasks again: nothing is stored twice.
-    G.upload_batches(batches.where("records < 40"), path)
-    whole = batches.join(batches.where("records < 40").select("task_id").distinct(), "task_id", "left_semi")
-    G.upload_batches(whole, path)
+    G.upload_batches(batches, path, buckets=16)
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["bytes"])
     return spark.read.parquet(path).select(
         "task_id", "batch", "records", total.alias("bytes"), F.col("lines")[0]["url"].alias("first_url")
