@@ -67,13 +67,14 @@ def bfs_rank(new: DataFrame, rows: int | None = None) -> DataFrame:
     single crawl could fill one task, and the crawl is numbered in buckets of parents.
     """
     if rows is not None and rows <= _ONE_TASK_ROWS:
+        queue = "PARTITION BY start ORDER BY parent_rank, pos"
         return new.selectExpr(
             "start",
             "budget",
-            "total + count(1) OVER (PARTITION BY start) AS total",
+            f"total + count(1) OVER ({queue} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total",
             "url",
             "parent_rank",
-            "total + row_number() OVER (PARTITION BY start ORDER BY parent_rank, pos) AS rank",
+            f"total + row_number() OVER ({queue}) AS rank",
             "depth",
         )
     bucket = F.floor(F.col("parent_rank") / _PARENTS)
@@ -88,13 +89,14 @@ def expand_level(level: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidate links of the affordable pages of a level, one row per crawl and URL.
 
     Pages are looked up once however many crawls reached them; only their links are then fanned
-    out, which leaves AQE free to split a page that all crawls link to.
+    out, which leaves AQE free to split a page that all crawls link to. The look-up hashes the wanted
+    URLs, so the bucketed link table is neither shuffled nor sorted.
     """
     frontier = level.where("rank <= budget").select(
         "start", url_netloc(F.col("start")).alias("host"), "budget", "total", "url", F.col("rank").alias("parent_rank")
     )
     wanted = frontier.selectExpr("url AS src_url").distinct()
-    links = edges.join(wanted, "src_url", "left_semi")
+    links = edges.join(wanted.hint("shuffle_hash"), "src_url", "left_semi")
     reached = frontier.join(links, F.expr("url = src_url AND host = dst_host"))
     candidates = reached.selectExpr("start", "budget", "total", "dst_url AS url", "parent_rank", "pos")
     return first_occurrence(candidates, ["start", "url"], ("budget", "total"))

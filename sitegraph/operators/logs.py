@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.operators.delivery import verdict_counts
 from sitegraph.operators.progress import rows_in_chunks
-from sitegraph.session import written
+from sitegraph.session import hadoop_path, written
 from sitegraph.schemas import LOG_LINE
 
 BATCH_RECORDS = 1000
@@ -154,7 +154,8 @@ def upload_batches(batches: DataFrame, path: str, buckets: int = UPLOAD_BUCKETS)
     bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int")
     incoming = written(batches.withColumn("task_bucket", bucket), "upload")
     merged = incoming
-    if _exists(spark, path):
+    target, fs = hadoop_path(spark, path)
+    if fs.exists(target):
         old = spark.read.schema(incoming.schema).parquet(path)
         touched = old.join(incoming.select("task_bucket").distinct(), "task_bucket", "left_semi")
         kept = touched.join(incoming.select("task_id").distinct(), "task_id", "left_anti")
@@ -168,11 +169,6 @@ def upload_batches(batches: DataFrame, path: str, buckets: int = UPLOAD_BUCKETS)
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def split_acked(files: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(acknowledged, left for retry): a file is done once a receipt names its task.
 

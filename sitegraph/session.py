@@ -21,6 +21,7 @@ def local_session(cpus: str = "*", app: str = "sitegraph", partitions: int = 8)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -69,14 +70,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
     """`df` as a table bucketed and sorted by `key`, so that repeated joins on it do not shuffle it.
 
-    The files stay in the shared folder; the catalog entry lives as long as the context.
+    Table and files go when the context ends, so its readers must have finished by then.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     placed = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
-    placed.option("path", fresh_path(spark, name)).saveAsTable(table)
+    placed.option("path", path).saveAsTable(table)
     try:
         yield spark.table(table)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder, fs = hadoop_path(spark, path)
+        fs.delete(folder, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) as the JVM sees them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
