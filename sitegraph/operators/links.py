@@ -48,7 +48,7 @@ def link_table(snapshot: DataFrame, unique: bool = False) -> DataFrame:
 
 
 def same_host_links(snapshot: DataFrame, hosts: DataFrame, unique: bool = False) -> DataFrame:
-    """Links from each page in `hosts(src_url, host)` to that very host."""
+    """Links from each page in `hosts(url, host)` to that very host."""
     links = link_table(snapshot, unique)
     return links.join(hosts, (links.src_url == hosts.url) & (links.dst_host == hosts.host)).select(
         "src_url", "pos", "dst_url", "dst_host"

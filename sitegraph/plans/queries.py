@@ -868,9 +868,9 @@ def stream_progress_throttle(spark, sf_dir):
     base = fresh_path(spark, "throttle")
     pings = written(V.pings(spark, sf_dir), "pings")
     # Three arrivals in time order, each processed by a restarted query.
-    n = F.dayofmonth("ts")
-    for low, high in ((0, 10), (10, 20), (20, 31)):
-        pings.where((n > low) & (n <= high)).write.mode("append").parquet(f"{base}/in")
+    third = F.ceil(F.col("done") * 3 / F.col("total"))
+    for arrival in (1, 2, 3):
+        pings.where(third == arrival).write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(pings.schema).parquet(f"{base}/in")
         writer = J.progress_throttle(arriving, f"{base}/out", f"{base}/state", SIX_HOURS)
         J.run_available(writer, f"{base}/checkpoint")

@@ -9,21 +9,24 @@ from sitegraph.functions import html as H
 from sitegraph.functions.urls import normalize_url
 
 NOT_FOUND = "not in snapshot"
+_HASHED = "hashed"
 
 
 def as_snapshot(pages: DataFrame) -> DataFrame:
     """Standard columns from any table with `url` and `html`.
 
-    Missing columns mean a direct 200 answer of unknown type; `page_id` orders copies of one URL.
+    Missing columns mean a direct 200 answer of unknown type. `page_id`, a unique number, orders
+    copies of one URL; without it a hash does, and the column is marked, as equal copies share it.
     """
     has = set(pages.columns)
     copy_key = F.col("page_id") if "page_id" in has else F.xxhash64("url", "html")
+    marked = {_HASHED: "page_id" not in has}
 
     def given(name: str, default, dtype: str):
         return (F.coalesce(F.col(name), default) if name in has else default).cast(dtype).alias(name)
 
     return pages.select(
-        copy_key.cast("long").alias("page_id"),
+        copy_key.cast("long").alias("page_id", metadata=marked),
         normalize_url(F.col("url")).alias("url"),
         given("final_url", F.col("url"), "string"),
         given("http_status", F.lit(200), "int"),
@@ -48,7 +51,8 @@ def keep_first_copies(extracted: DataFrame, snapshot: DataFrame, unique: bool) -
         return extracted.drop("page_id")
     kept = first_copies(snapshot).select("page_id", F.col("url").alias("_kept_url"))
     joined = extracted.join(kept, "page_id")
-    return joined.where(F.col("url") == F.col("_kept_url")).drop("page_id", "_kept_url")
+    first = joined.where(F.col("url") == F.col("_kept_url")).drop("page_id", "_kept_url")
+    return first.dropDuplicates(["url"]) if snapshot.schema["page_id"].metadata.get(_HASHED) else first
 
 
 def page_facts(snapshot: DataFrame, unique: bool = False) -> DataFrame:

@@ -123,6 +123,15 @@ def test_fetch_keeps_repeats_and_reports_absent(spark):
     assert got == {1: ("t", 200, None), 2: ("t", 200, None), 3: (None, None, "not in snapshot")}
 
 
+def test_equal_copies_without_page_id(spark):
+    html = '<a href="/b">'
+    rows = [("http://h/a", html), ("http://h/a", html), ("http://h/a/", html), ("http://h/b", "x")]
+    snapshot = as_snapshot(spark.createDataFrame(rows, "url string, html string"))
+    tasks = spark.createDataFrame([("t", "http://h/a", None)], "task_id string, url string, max_pages int")
+    got = sorted((r.url, r.rank, r.error) for r in C.crawl_all(tasks, snapshot).collect())
+    assert got == [("http://h/a", 1, None), ("http://h/b", 2, None)]
+
+
 def test_html_is_not_carried_through_the_crawl(spark, small):
     """The link table reads url and html only, and the visited join never shuffles html."""
     from sitegraph.operators.links import link_table
