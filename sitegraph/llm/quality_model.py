@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import as_bytes, crc_of_id, slices
+from sitegraph.llm.trees import Bins, Trees
 from sitegraph.session import cut
 
 #: Labelled rows the trees are fitted to, at most (those of the smallest hashes of their ids).
@@ -90,86 +90,28 @@ def measured(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_measure, "doc_id long, features array<float>")
 
 
-@dataclass(frozen=True)
-class Trees:
-    """Perfect binary trees of one depth: node k has children 2k+1 (value <= limit) and 2k+2."""
-
-    base: float
-    feature: np.ndarray  # trees x inner nodes
-    limit: np.ndarray
-    leaf: np.ndarray  # trees x leaves
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 per row."""
-        total = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        inner = self.feature.shape[1]
-        for feature, limit, leaf in zip(self.feature, self.limit, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            while len(node) and node[0] < inner:  # all rows are on the same level
-                node = 2 * node + 1 + (x[rows, feature[node]] > limit[node])
-            total += leaf[node - inner]
-        return 1 / (1 + np.exp(-total))
-
-
 def fit_trees(
-    x: np.ndarray,
-    y: np.ndarray,
-    trees: int = 80,
-    depth: int = 4,
-    rate: float = 0.15,
-    bins: int = 48,
-    ridge: float = 2.0,
-    least: int = 20,
+    x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 2.0
 ) -> Trees:
-    """Boosting with logistic loss over binned features; each level's splits come from one histogram per feature."""
-    inner, leaves = 2**depth - 1, 2**depth
-    feature = np.zeros((trees, inner), np.int32)
-    limit = np.full((trees, inner), np.inf, np.float32)
-    leaf = np.zeros((trees, leaves))
+    """Boosting with logistic loss."""
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     base = float(np.log(mean / (1 - mean)))
-    if len(y) == 0 or y.min() == y.max():
-        return Trees(base, feature[:0], limit[:0], leaf[:0])
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
-    margin = np.full(len(y), base)
-    for t in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        gradient, hessian = y - p, p * (1 - p)
-        node = np.zeros(len(y), np.int64)  # number within the level
-        for level in range(depth):
-            width = 2**level
-            best_gain = np.full(width, 1e-9)
-            best = np.full((width, 2), -1)
-            for f, e in enumerate(edges):
-                if not len(e):
-                    continue
-                cells = node * bins + binned[:, f]
-                shape = (width, bins)
-                g = np.bincount(cells, gradient, width * bins).reshape(shape).cumsum(1)
-                h = np.bincount(cells, hessian, width * bins).reshape(shape).cumsum(1)
-                c = np.bincount(cells, minlength=width * bins).reshape(shape).cumsum(1)
-                gt, ht, ct = g[:, -1:], h[:, -1:], c[:, -1:]
-                gain = g**2 / (h + ridge) + (gt - g) ** 2 / (ht - h + ridge) - gt**2 / (ht + ridge)
-                gain = np.where((c >= least) & (ct - c >= least), gain, 0)[:, : len(e)]
-                at = gain.argmax(1)
-                top = gain[np.arange(width), at]
-                better = top > best_gain
-                best_gain[better] = top[better]
-                best[better] = np.stack([np.full(width, f), at], axis=1)[better]
-            first = width - 1
-            for k, (f, at) in enumerate(best):
-                if f >= 0:  # without a split all rows go left
-                    feature[t, first + k], limit[t, first + k] = f, edges[f][at]
-            f, at = best[node, 0], best[node, 1]
-            right = (f >= 0) & (binned[np.arange(len(y)), np.maximum(f, 0)] > at)
-            node = 2 * node + right
-        g = np.bincount(node, gradient, leaves)
-        h = np.bincount(node, hessian, leaves)
-        leaf[t] = rate * g / (h + ridge)
-        margin += leaf[t][node]
-    return Trees(base, feature, limit, leaf)
+    grown = []
+    if len(y) and y.min() != y.max():
+        binned = Bins(x, bins)
+        margin = np.full(len(y), base)
+        for _ in range(trees):
+            p = 1 / (1 + np.exp(-margin))
+            feature, limit, leaf, own = binned.grow(y - p, p * (1 - p), depth, ridge, least=20)
+            grown.append((feature, limit, rate * leaf))
+            margin += rate * leaf[own]
+    feature, limit, leaf = zip(*grown) if grown else (np.zeros((0, 1)),) * 3
+    return Trees(base, np.array(feature), np.array(limit), np.array(leaf))
+
+
+def probabilities(model: Trees, x: np.ndarray) -> np.ndarray:
+    """Probability of label 1 per row."""
+    return 1 / (1 + np.exp(-model.total(x)))
 
 
 def labelled_sample(features: DataFrame, labels: DataFrame, held_out_of: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +132,7 @@ def _scorer(model: Trees, threshold: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
             x = np.asarray(part.column(2).flatten(), np.float32).reshape(part.num_rows, len(FEATURES))
-            scores = model.scores(x)
+            scores = probabilities(model, x)
             predicted = pa.array((scores >= threshold).astype(np.int32))
             columns = [part.column(0), part.column(1), pa.array(scores), predicted]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])

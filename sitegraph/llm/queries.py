@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegraph.llm import quality_rules
+from sitegraph.llm import quality_rules, secret_scan
 from sitegraph.llm.byte_bpe import encode_documents
 from sitegraph.llm.common import documents
 from sitegraph.llm.fingerprints import fingerprinted
 from sitegraph.llm.language import identify
+from sitegraph.llm.license_scan import license_matches
 from sitegraph.llm.packing import pack_documents
 from sitegraph.llm.quality_model import quality_scores
 from sitegraph.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -33,6 +38,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), WORD_BPE, fresh_path(spark, "token-counts"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = secret_scan.fit(docs, secret_scan.weak_labels(secret_scan.findings(docs)))
+    return secret_scan.judged_findings(docs, model)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(documents(spark, sf_dir))
 
@@ -50,9 +61,11 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,

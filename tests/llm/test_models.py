@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitegraph.llm import language
 from sitegraph.llm.common import documents
 from sitegraph.llm.language import Model, Scorer, fit, grams_of, identify, predict_languages, training_part, words_of
-from sitegraph.llm.quality_model import FEATURES, fit_trees, quality_scores, statistics
+from sitegraph.llm.quality_model import FEATURES, fit_trees, probabilities, quality_scores, statistics
 
 DOC = "doc_id long, text string, lang string, source string, score string, held_out string, features string"
 
@@ -89,7 +89,7 @@ def test_trees_learn_and_walk():
     x = rng.normal(size=(3000, len(FEATURES))).astype(np.float32)
     y = ((x[:, 3] > 0.2) ^ (x[:, 7] > 0)).astype(float)
     model = fit_trees(x[:2000], y[:2000], trees=40)
-    scores = model.scores(x[2000:])
+    scores = probabilities(model, x[2000:])
     assert ((scores > 0.5) == (y[2000:] == 1)).mean() > 0.95
     for k in range(0, 1000, 97):
         total, row = model.base, x[2000 + k]
@@ -99,8 +99,8 @@ def test_trees_learn_and_walk():
                 node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
             total += leaf[node - len(feature)]
         assert scores[k] == pytest.approx(1 / (1 + np.exp(-total)))
-    assert set(fit_trees(x, np.ones(3000)).scores(x).round(6)) == {0.999}
-    assert len(fit_trees(x[:0], y[:0]).scores(x)) == 3000 and len(model.scores(x[:0])) == 0
+    assert set(probabilities(fit_trees(x, np.ones(3000)), x).round(6)) == {0.999}
+    assert len(probabilities(fit_trees(x[:0], y[:0]), x)) == 3000 and len(probabilities(model, x[:0])) == 0
 
 
 def test_statistics_of_any_text():
