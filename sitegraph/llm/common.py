@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegraph.session import fresh_path, hadoop_path
+
 #: Rows taken out of an Arrow batch at a time, so that long texts are not all held as Python objects.
 SLICE_ROWS = 256
 
@@ -39,3 +41,30 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def as_text(column: pa.Array) -> list[str]:
     return ["" if v is None else v for v in column.to_pylist()]
+
+
+class Scratch:
+    """Tables in the shared folder that cut lineage, removed when the block ends.
+
+    Used in place of checkpoints where later steps read few of the columns, and in loops: a table read
+    back carries no constraints, whose number would double with each round. What leaves the block must
+    not read from these tables any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "scratch")
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            folder, fs = hadoop_path(self.spark, path)
+            fs.delete(folder, True)

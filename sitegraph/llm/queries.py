@@ -11,6 +11,7 @@ from sitegraph.llm import quality_rules, secret_scan
 from sitegraph.llm.byte_bpe import encode_documents
 from sitegraph.llm.common import documents
 from sitegraph.llm.fingerprints import fingerprinted
+from sitegraph.llm.jaccard_join import jaccard_classes
 from sitegraph.llm.language import identify
 from sitegraph.llm.license_scan import license_matches
 from sitegraph.llm.packing import pack_documents
@@ -38,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), WORD_BPE, fresh_path(spark, "token-counts"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = secret_scan.fit(docs, secret_scan.weak_labels(secret_scan.findings(docs)))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
