@@ -217,3 +217,34 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the part that may be learnt from, predict for every text."""
     return predict_languages(docs, fit(docs, training_part()))
+
+
+def _keeper(model, least: float, text_at: int, lang_at: int | None):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for part in slices(batches):
+            texts = as_text(part.column(text_at))
+            found = scorer.predict(texts)
+            if model.value.languages:
+                mask = [lang != UNKNOWN and score >= least for lang, score in found]
+            else:
+                mask = [bool(_WORD.search(text)) for text in texts]
+            columns = list(part.columns)
+            if lang_at is not None:
+                given = columns[lang_at].to_pylist()
+                filled = [f[0] if g is None else g for g, f in zip(given, found)]
+                columns[lang_at] = pa.array(filled, part.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(mask, pa.bool_()))
+
+    return keep
+
+
+def known_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` in a language the model knows, with their columns; a NULL `lang` becomes the prediction.
+
+    Rejected are texts without letters (NULL and empty ones too) and those whose score is below
+    `least`. A model without languages rejects only the former.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
+    return docs.mapInArrow(_keeper(shared, least, docs.columns.index("text"), lang_at), docs.schema)

@@ -30,7 +30,7 @@ class Rules:
 
     least_words: int = 50
     most_repeat_percent: int = 50
-    host_rate: float = 0.5
+    host_rate: float = 0.8
     #: Strength of the prior (documents) where the hosts' rates do not vary, and at most.
     most_strength: float = 1e6
 
@@ -187,6 +187,6 @@ WITH d AS (
   SELECT source, (q + m * s) / (n + s) AS host_rate FROM h, p
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v.host_rate, 9) AS host_rate,
-  NOT base_failed AND NOT v.host_rate > 0.5 AS kept
+  NOT base_failed AND NOT v.host_rate > 0.8 AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
