@@ -18,6 +18,7 @@ HREF = r"""(?i)href=["']([^"'#]+)["']"""
 META_KEYS = ("description", "keywords", "og:title", "og:description", "og:site_name")
 TITLE_CHARS = 300
 META_CHARS = 500
+#: What a live fetch stops at; `body(..., limit=BODY_CHARS)` gives the same text.
 BODY_CHARS = 3_000_000
 
 # What str.isspace() accepts, so that stripping agrees with Python.
@@ -43,13 +44,10 @@ def is_html(content_type: Column) -> Column:
     return (ctype == "") | ctype.contains("html")
 
 
-def body(html: Column, content_type: Column | None = None, limit: int = BODY_CHARS) -> Column:
-    """The text a fetch keeps: nothing for other media types, else at most `limit` characters.
-
-    A text of so few bytes has no more characters, and is passed on without scanning or copying it.
-    """
+def body(html: Column, content_type: Column | None = None, limit: int | None = None) -> Column:
+    """The text a fetch keeps: nothing for other media types, else all of it, or at most `limit` characters."""
     text = F.coalesce(html, F.lit(""))
-    kept = F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, 1, limit))
+    kept = text if limit is None else F.substring(text, 1, limit)
     if content_type is None:
         return kept
     return F.when(is_html(content_type), kept).otherwise(F.lit(""))

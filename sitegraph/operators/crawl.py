@@ -14,13 +14,9 @@ from sitegraph.session import bucketed, cut
 from sitegraph.sources.snapshot import fetch
 
 DEFAULT_BUDGET = 50
-# A page body is capped at 3,000,000 characters, so link positions fit in 24 bits.
-_POS_BITS = 24
 # Parents per numbering bucket; a bucket then holds the new links of at most this many pages.
 _PARENTS = 1024
-# Rows one task may number by itself.
-_ONE_TASK_ROWS = 1_000_000
-# Levels are unioned to know what was seen; after this many they are rewritten as one.
+# Levels are unioned to know what was seen; after this many they are rewritten as one, so that plans stay short.
 _COMPACT_EVERY = 16
 
 
@@ -42,17 +38,17 @@ def crawl_starts(tasks: DataFrame) -> DataFrame:
 def first_occurrence(candidates: DataFrame, keys: list[str], same: tuple[str, ...] = ()) -> DataFrame:
     """Earliest (parent_rank, pos) per key; `same` are numbers equal within a key.
 
-    The place is packed into one LONG, so the aggregate hashes instead of sorting.
+    The place is one decimal with room for any two LONGs (38 digits), so the aggregate hashes instead
+    of sorting.
     """
-    place = f"shiftleft(parent_rank, {_POS_BITS}) + pos"
+    half = "10000000000000000000BD"
+    kind = candidates.schema["pos"].dataType.simpleString()
+    place = f"cast(parent_rank AS decimal(19, 0)) * {half} + cast(pos AS decimal(19, 0))"
     first = candidates.groupBy(*keys).agg(
         F.expr(f"min({place})").alias("_place"), *[F.expr(f"min({c})").alias(c) for c in same]
     )
     return first.selectExpr(
-        *keys,
-        *same,
-        f"shiftright(_place, {_POS_BITS}) AS parent_rank",
-        f"cast(_place & {(1 << _POS_BITS) - 1} AS int) AS pos",
+        *keys, *same, f"_place div {half} AS parent_rank", f"cast(_place % {half} AS {kind}) AS pos"
     )
 
 
@@ -60,23 +56,11 @@ def frontier_minus_seen(candidates: DataFrame, seen: DataFrame, keys: list[str])
     return candidates.join(seen.select(*keys), keys, "left_anti")
 
 
-def bfs_rank(new: DataFrame, rows: int | None = None) -> DataFrame:
+def bfs_rank(new: DataFrame) -> DataFrame:
     """Enqueue rank of the new URLs of each crawl, behind the `total` it has ranked so far.
 
-    A level of at most `_ONE_TASK_ROWS` rows is numbered in one window per crawl. Beyond that a
-    single crawl could fill one task, and the crawl is numbered in buckets of parents.
+    A single crawl could fill one task, so each is numbered in buckets of parents.
     """
-    if rows is not None and rows <= _ONE_TASK_ROWS:
-        queue = "PARTITION BY start ORDER BY parent_rank, pos"
-        return new.selectExpr(
-            "start",
-            "budget",
-            f"total + count(1) OVER ({queue} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total",
-            "url",
-            "parent_rank",
-            f"total + row_number() OVER ({queue}) AS rank",
-            "depth",
-        )
     bucket = F.floor(F.col("parent_rank") / _PARENTS)
     placed = number_rows(new, ["start"], bucket, [F.col("parent_rank"), F.col("pos")], "_place")
     added = new.groupBy("start").agg(F.count(F.lit(1)).alias("_added"))
@@ -89,14 +73,14 @@ def expand_level(level: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidate links of the affordable pages of a level, one row per crawl and URL.
 
     Pages are looked up once however many crawls reached them; only their links are then fanned
-    out, which leaves AQE free to split a page that all crawls link to. The look-up hashes the wanted
-    URLs, so the bucketed link table is neither shuffled nor sorted.
+    out, which leaves AQE free to split a page that all crawls link to. The look-up finds the link
+    table bucketed and sorted by URL, so only the wanted URLs are shuffled; either side may spill.
     """
     frontier = level.where("rank <= budget").select(
         "start", url_netloc(F.col("start")).alias("host"), "budget", "total", "url", F.col("rank").alias("parent_rank")
     )
     wanted = frontier.selectExpr("url AS src_url").distinct()
-    links = edges.join(wanted.hint("shuffle_hash"), "src_url", "left_semi")
+    links = edges.join(wanted, "src_url", "left_semi")
     reached = frontier.join(links, F.expr("url = src_url AND host = dst_host"))
     candidates = reached.selectExpr("start", "budget", "total", "dst_url AS url", "parent_rank", "pos")
     return first_occurrence(candidates, ["start", "url"], ("budget", "total"))
@@ -117,7 +101,7 @@ def rank_sites(starts: DataFrame, edges: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     depth = 0
     while rows > 0:
-        level = bfs_rank(found, rows)
+        level = bfs_rank(found)
         done.append(level)
         depth += 1
         new = frontier_minus_seen(expand_level(level, edges), seen, ["start", "url"])

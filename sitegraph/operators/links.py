@@ -18,25 +18,26 @@ def _links_column() -> Column:
     return page_links(F.col("final_url"), F.col("hrefs"))
 
 
-def page_hrefs(snapshot: DataFrame) -> DataFrame:
-    """Raw href values with their position, one row each."""
+def page_hrefs(snapshot: DataFrame, limit: int | None = None) -> DataFrame:
+    """Raw href values with their position, one row each, of whole pages or their first `limit` characters."""
     # Exploded as an expression: for a column Spark would infer a filter on its size, and evaluate
     # the pattern over the page a second time.
-    html = H.body(F.col("html"), F.col("content_type"))
+    html = H.body(F.col("html"), F.col("content_type"), limit)
     return snapshot.select("page_id", F.posexplode(H.hrefs(html)).alias("pos", "href"))
 
 
-def link_table(snapshot: DataFrame, unique: bool = False) -> DataFrame:
+def link_table(snapshot: DataFrame, unique: bool = False, limit: int | None = None) -> DataFrame:
     """(src_url, pos, dst_url, dst_host) of every link worth crawling, any host; html is read once.
 
     Links are resolved against the page's final URL. The same-host rule depends on the crawl that
-    follows a link, so it is an equality on `dst_host` when the table is joined.
+    follows a link, so it is an equality on `dst_host` when the table is joined. `limit` reads only so
+    many characters of a page.
     """
     found = snapshot.select(
         "page_id",
         "url",
         "final_url",
-        H.hrefs(H.body(F.col("html"), F.col("content_type"))).alias("hrefs"),
+        H.hrefs(H.body(F.col("html"), F.col("content_type"), limit)).alias("hrefs"),
     )
     decoded = keep_first_copies(found.withColumn("hrefs", H.decode_hrefs(F.col("hrefs"))), snapshot, unique)
     return decoded.select(F.col("url").alias("src_url"), F.explode(_links_column()).alias("link")).select(

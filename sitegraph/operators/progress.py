@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from sitegraph.operators.running import Running, number_rows, range_buckets, running
 from sitegraph.session import cut
 
-# Runs up to this many pings are folded in one array; longer ones are followed by pointer doubling.
-FOLD_ROWS = 1024
 
-
-def throttle_progress(pings: DataFrame, seconds: float = 1.0, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def throttle_progress(pings: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Keep the first ping of a task, each ping at least `seconds` after the last kept, and done = total.
 
     Tasks with a single page send no pings. The rule is sequential, but a ping whose predecessor is
     `seconds` older, or that completes its task, is kept whatever came before; the rows between two
-    such pings form a run of their own. Numbering and runs are found in range buckets, so a task
-    with a third of all pings is spread over many Spark tasks.
+    such pings form a run of their own, which is followed from kept ping to kept ping by pointer
+    doubling. Numbering and runs are found in range buckets, so a task with a third of all pings is
+    spread over many Spark tasks.
     """
     wait = int(seconds * 1_000_000)
     many = pings.where(F.coalesce(F.col("total"), F.lit(1)) > 1)
@@ -39,31 +37,7 @@ def throttle_progress(pings: DataFrame, seconds: float = 1.0, fold_rows: int = F
             marked, ["task_id"], F.col("_range"), [F.col("_seq")], [Running("_run", F.col("_anchor"), "max")]
         ).drop("_anchor", "_prev")
     )
-    long_runs = runs.where(F.col("_seq") - F.col("_run") >= fold_rows).select("task_id", "_run").distinct()
-    if long_runs.isEmpty():
-        return _fold_runs(runs, wait).select(*pings.columns)
-    long_runs = cut(long_runs)
-    short = _fold_runs(runs.join(long_runs, ["task_id", "_run"], "left_anti"), wait)
-    followed = _follow_runs(runs.join(long_runs, ["task_id", "_run"], "left_semi"), wait)
-    return short.select(*pings.columns).unionByName(followed.select(*pings.columns))
-
-
-def _fold_runs(runs: DataFrame, wait: int) -> DataFrame:
-    """Walk each short run in one array; only its first ping can be kept unconditionally."""
-    fields = [c for c in runs.columns if c not in ("task_id", "_run")]
-    one = F.struct("_seq", *[c for c in fields if c != "_seq"])
-    listed = runs.groupBy("task_id", "_run").agg(F.sort_array(F.collect_list(one)).alias("_list"))
-    item = runs.select(one.alias("x")).schema["x"].dataType.simpleString()
-    start = F.expr(f"named_struct('last', cast(null as bigint), 'kept', cast(array() as array<{item}>))")
-
-    def step(acc, x):
-        due = acc["last"].isNull() | (x["_us"] - acc["last"] >= wait)
-        return F.when(
-            due, F.struct(x["_us"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ).otherwise(acc)
-
-    kept = F.aggregate("_list", start, step, lambda acc: acc["kept"])
-    return listed.select("task_id", F.explode(kept).alias("x")).select("task_id", "x.*")
+    return _follow_runs(runs, wait).select(*pings.columns)
 
 
 def _follow_runs(runs: DataFrame, wait: int) -> DataFrame:
@@ -72,7 +46,7 @@ def _follow_runs(runs: DataFrame, wait: int) -> DataFrame:
     The pointers are doubled each round, so a run with n kept pings takes log2(n) rounds of joins on
     unique keys; no run is ever held in one place.
     """
-    rows = cut(runs)
+    rows = runs
     # Pings and the moments they allow the next one, in one order: the number of pings before such
     # a moment says which ping comes next. At equal times the moment sorts first.
     moments = rows.select("task_id", "_run", (F.col("_us") + wait).alias("_at"), "_seq", F.lit(0).alias("_ping"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +15,9 @@ from sitegraph.sources.tasks import LIST_TYPES, SINGLE_TYPES, SITE_TYPES, valida
 
 Handler = Callable[..., DataFrame]
 
-_HANDLERS: dict[str, Handler] = {}
-
 RESULT = ["pages_crawled", "pages_saved", "links_found", "errors", "elapsed_ms"]
 
 
-def register(*task_types: str) -> Callable[[Handler], Handler]:
-    """Name the task types a handler runs.
-
-    A handler takes (tasks, snapshot, unique, hook) and returns one row per task: task_id, the
-    RESULT columns and, for tasks that failed, error.
-    """
-
-    def bind(fn: Handler) -> Handler:
-        for name in task_types:
-            _HANDLERS[name] = fn
-        return fn
-
-    return bind
-
-
-def supported_task_types() -> list[str]:
-    return sorted(_HANDLERS)
-
-
-@register(*SINGLE_TYPES)
 def single_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) -> DataFrame:
     failed = F.col("error").isNotNull()
     return crawl_single(tasks, snapshot, unique, hook).select(
@@ -52,12 +31,10 @@ def single_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) ->
     )
 
 
-@register(*LIST_TYPES)
 def list_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) -> DataFrame:
     return list_totals(crawl_pages(tasks, snapshot, unique, hook))
 
 
-@register(*SITE_TYPES)
 def site_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) -> DataFrame:
     starts = tasks.select(
         F.col("id").alias("task_id"), F.col("payload.url").alias("url"), F.col("payload.max_pages").alias("max_pages")
@@ -66,18 +43,29 @@ def site_result(tasks: DataFrame, snapshot: DataFrame, unique: bool, hook) -> Da
     return crawl_totals(visit(discovered, snapshot, unique, hook), discovered)
 
 
+#: The handler of each built-in task type. A handler takes (tasks, snapshot, unique, hook) and returns one
+#: row per task: task_id, the RESULT columns and, for tasks that failed, error.
+BUILT_IN: Mapping[str, Handler] = MappingProxyType(
+    {
+        **dict.fromkeys(SINGLE_TYPES, single_result),
+        **dict.fromkeys(LIST_TYPES, list_result),
+        **dict.fromkeys(SITE_TYPES, site_result),
+    }
+)
+
+
 def execute_tasks(
     tasks: DataFrame,
     snapshot: DataFrame,
     unique: bool = False,
     hook=default_hook,
-    handlers: dict[str, Handler] | None = None,
+    handlers: Mapping[str, Handler] | None = None,
 ) -> DataFrame:
     """One result row per task: task_id, task_type, status, error and the RESULT columns.
 
-    `handlers` adds to, or replaces, registered handlers for this call.
+    `handlers` adds to the built-in handlers, or replaces some of them.
     """
-    table = {**_HANDLERS, **(handlers or {})}
+    table = {**BUILT_IN, **(handlers or {})}
     checked = validate_tasks(tasks, sorted(table))
     valid = checked.where(F.col("status").isNull()).drop("status", "error")
     by_handler: dict[Handler, list[str]] = {}

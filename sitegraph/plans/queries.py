@@ -316,7 +316,7 @@ def page_summary(spark, sf_dir):
 @query("SELECT page_id, length(left(html, 3000000)) AS content_length, length(html) > 3000000 AS cut FROM pages")
 def content_length_cap(spark, sf_dir):
     html = F.col("html")
-    kept = F.length(H.body(html)).cast("long")
+    kept = F.length(H.body(html, limit=H.BODY_CHARS)).cast("long")
     return V.pages(spark, sf_dir).select("page_id", kept.alias("content_length"), (F.length(html) > kept).alias("cut"))
 
 
@@ -846,19 +846,17 @@ def stream_page_ingest(spark, sf_dir):
 
 
 @query(
-    f"""SELECT task_id, epoch_us(day) AS start_us, count(*) FILTER (outcome = 'saved') AS saved,
+    """SELECT task_id, epoch_us(day) AS start_us, count(*) FILTER (outcome = 'saved') AS saved,
   count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'spooled') AS spooled
-FROM (SELECT *, date_trunc('day', ts) AS day FROM page_log)
-WHERE epoch_us(day) + 86400000000 <= (SELECT max(us) // 1000 * 1000 - {LATE_SECONDS}000000 FROM page_log) GROUP BY ALL""",
+FROM (SELECT *, date_trunc('day', ts) AS day FROM page_log) GROUP BY ALL""",
     "page_log",
 )
 def stream_outcome_counts(spark, sf_dir):
     log = V.page_log_of(V.in_utc(_stream(spark, sf_dir, "events")))
     counts = J.outcome_counts(log, "1 day", f"{LATE_SECONDS} seconds")
     base = fresh_path(spark, "counts")
-    writer = counts.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-    J.run_available(writer, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out").select(
+    J.run_available(J.write_counts(counts, f"{base}/out"), f"{base}/checkpoint")
+    return J.read_counts(spark.read.parquet(f"{base}/out")).select(
         "task_id", F.unix_micros("start").alias("start_us"), "saved", "rejected", "spooled"
     )
 
@@ -896,8 +894,11 @@ def stream_spool_retry(spark, sf_dir):
     spool = V.spool_errors(spark, sf_dir)
     spool.drop("message").write.parquet(f"{base}/in")
     arriving = spark.readStream.schema(spool.drop("message").schema).option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
-    J.run_available(J.spool_retry(arriving, V.spool_replies(spool), f"{base}/out"), f"{base}/checkpoint")
-    return DO.flush_totals(spark.read.parquet(f"{base}/out"))
+    replies = V.spool_replies(spool)
+    J.run_available(J.spool_retry(arriving, replies, f"{base}/out", f"{base}/state"), f"{base}/checkpoint")
+    left = J.read_spool_left(spark, f"{base}/state", arriving.schema).withColumn("flush_outcome", F.lit("remaining"))
+    settled = spark.read.schema(left.schema).parquet(f"{base}/out")
+    return DO.flush_totals(settled.unionByName(left))
 
 
 _LIVE = f"""SELECT CAST(user_id AS VARCHAR) AS node, max(epoch_us(ts)) AS last_us,

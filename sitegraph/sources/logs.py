@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions.paths import log_dirs, slug
 from sitegraph.schemas import LOG_LINE
+from sitegraph.session import hadoop_path
 
 ARCHIVE = "_posted"
-# `<dir>/<dir>/<file>` of the node layout and of our own writer, and files nearer the root. Explicit
-# globs, because a recursive listing hides directories such as `_unfiled`.
-_LAYOUT = "/{*,*/*,*/*/*}"
+# Levels of `<dir>/<dir>/<file>`, the layout of nodes and of our own writer.
+LAYOUT_DEPTH = 3
 SUFFIXES = "jsonl,json"
 
 
@@ -43,30 +43,55 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     filed.write.mode(mode).partitionBy("client_dir", "lead_dir").json(path)
 
 
-def _parse(lines: DataFrame) -> DataFrame:
+def _parse(lines: DataFrame, archive: str) -> DataFrame:
     """Text lines to log columns.
 
     Any JSON object is a record; a field of another type than expected is NULL and does not make
     its line corrupt, which is why the lines are parsed as variants and not with the schema.
     """
-    archived = F.col("_metadata.file_path").contains(f"/{ARCHIVE}/")
+    archived = F.col("_metadata.file_path").contains(f"/{archive}/")
     parsed = lines.where(~archived & F.col("value").rlike(r"^\s*\{")).select(F.try_parse_json("value").alias("v"))
     return parsed.where(F.col("v").isNotNull()).select(
         *[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in LOG_LINE.fields]
     )
 
 
-def _files(path: str, suffixes: str) -> str:
-    return f"{path.rstrip('/')}{_LAYOUT}.{{{suffixes}}}"
+def depth_of(spark: SparkSession, path: str) -> int:
+    """Levels of files and folders below `path`, from the file system's own listing."""
+    root, fs = hadoop_path(spark, path)
+    depth = 0
+    while True:
+        level, _ = hadoop_path(spark, f"{root}{'/*' * (depth + 1)}")
+        if not fs.globStatus(level):
+            return depth
+        depth += 1
 
 
-def read_log(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFrame:
-    """All valid lines below `path`; blank and corrupt lines and the archive are skipped."""
-    return _parse(spark.read.text(_files(path, suffixes)))
+def _files(path: str, suffixes: str, depth: int) -> str:
+    # Explicit globs, because a recursive listing hides directories such as `_unfiled`.
+    levels = ",".join("/".join("*" * n) for n in range(1, max(1, depth) + 1))
+    return f"{path.rstrip('/')}/{{{levels}}}.{{{suffixes}}}"
+
+
+def read_log(spark: SparkSession, path: str, suffixes: str = SUFFIXES, archive: str = ARCHIVE) -> DataFrame:
+    """All valid lines below `path`, at any depth; blank and corrupt lines and the archive are skipped."""
+    return _parse(spark.read.text(_files(path, suffixes, depth_of(spark, path))), archive)
 
 
 def stream_log(
-    spark: SparkSession, path: str, files_per_trigger: int = 1000, suffixes: str = SUFFIXES
+    spark: SparkSession,
+    path: str,
+    files_per_trigger: int = 1000,
+    suffixes: str = SUFFIXES,
+    archive: str = ARCHIVE,
+    depth: int = LAYOUT_DEPTH,
 ) -> DataFrame:
-    """The same lines as a stream over files as they land."""
-    return _parse(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(_files(path, suffixes)))
+    """The same lines as a stream over files as they land, down to `depth` levels.
+
+    A stream's pattern is fixed when it starts; if something lies deeper by then, it is refused.
+    """
+    found = depth_of(spark, path)
+    if found > depth:
+        raise ValueError(f"{path} has files {found} levels deep; ask for depth={found}")
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(_files(path, suffixes, depth))
+    return _parse(lines, archive)

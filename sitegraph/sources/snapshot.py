@@ -55,9 +55,9 @@ def keep_first_copies(extracted: DataFrame, snapshot: DataFrame, unique: bool) -
     return first.dropDuplicates(["url"]) if snapshot.schema["page_id"].metadata.get(_HASHED) else first
 
 
-def page_facts(snapshot: DataFrame, unique: bool = False) -> DataFrame:
-    """One narrow row per URL: everything a crawl reports, without html."""
-    html = H.body(F.col("html"), F.col("content_type"))
+def page_facts(snapshot: DataFrame, unique: bool = False, limit: int | None = None) -> DataFrame:
+    """One narrow row per URL: everything a crawl reports, without html; of whole pages or their first `limit` characters."""
+    html = H.body(F.col("html"), F.col("content_type"), limit)
     facts = snapshot.select(
         "page_id",
         "url",
@@ -71,13 +71,15 @@ def page_facts(snapshot: DataFrame, unique: bool = False) -> DataFrame:
     return keep_first_copies(facts, snapshot, unique)
 
 
-def fetch(frontier: DataFrame, snapshot: DataFrame, unique: bool = False) -> DataFrame:
+def fetch(
+    frontier: DataFrame, snapshot: DataFrame, unique: bool = False, limit: int | None = None
+) -> DataFrame:
     """Look up `frontier.url` in the snapshot; an absent URL becomes an error row.
 
     Facts are extracted before the join, so a URL asked for by very many rows moves only narrow
     columns and AQE may split its partition.
     """
-    facts = page_facts(snapshot, unique).withColumnRenamed("url", "_page_url")
+    facts = page_facts(snapshot, unique, limit).withColumnRenamed("url", "_page_url")
     asked = frontier.withColumn("_page_url", normalize_url(F.col("url")))
     hit = asked.join(facts.withColumn("_hit", F.lit(True)), "_page_url", "left").drop("_page_url")
     return hit.withColumn("error", F.when(F.col("_hit").isNull(), F.lit(NOT_FOUND))).drop("_hit")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sitegraph.schemas import TASK
+from sitegraph.schemas import PAYLOAD, TASK
 
 SINGLE_TYPES = ("crawl_single", "crawl_single:meta", "extract_meta")
 LIST_TYPES = ("crawl_pages",)
@@ -14,7 +15,13 @@ TASK_TYPES = SINGLE_TYPES + LIST_TYPES + SITE_TYPES
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TASK).json(path)
+    """Task envelopes; a `max_pages` written as text or with a fraction is read as its whole number."""
+    payload = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name == "max_pages" else f.dataType) for f in PAYLOAD.fields]
+    )
+    loose = T.StructType([T.StructField(f.name, payload if f.name == "payload" else f.dataType) for f in TASK.fields])
+    number = F.expr("try_cast(try_cast(payload.max_pages AS double) AS int)")
+    return spark.read.schema(loose).json(path).withColumn("payload", F.col("payload").withField("max_pages", number))
 
 
 def task_ids(tasks: DataFrame) -> DataFrame:
@@ -47,6 +54,7 @@ def nonempty_pages(pages):
 
 def validate_tasks(tasks: DataFrame, supported: tuple[str, ...] | list[str] = TASK_TYPES) -> DataFrame:
     """Add status ('failed' or NULL) and error. List tasks need pages, other built-in types a URL."""
+    # The three messages are part of the results.
     kind = F.col("task_type")
     repr_ = F.coalesce(F.concat(F.lit("'"), kind, F.lit("'")), F.lit("None"))
     no_url = F.coalesce(F.col("payload.url"), F.lit("")) == ""

@@ -8,12 +8,13 @@ leaves no duplicates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sitegraph.operators.delivery import flush_spool
 from sitegraph.operators.progress import throttle_progress
+from sitegraph.session import cut, hadoop_path
 
 LATE = "10 minutes"
 
@@ -32,13 +33,15 @@ def page_ingest(pages: DataFrame, sink: str, spool: str, late: str = LATE) -> Da
     """Deliver each (task_id, url) once: saved and rejected pages to `sink`, undelivered ones to `spool`.
 
     `pages` has task_id, url, ts, outcome and the page's columns. A copy that arrives more than
-    `late` after the first counts as a new page; older rows are dropped.
+    `late` after the first counts as a new page; older rows are dropped. Delivered and undelivered
+    copies are told apart, so a page first spooled and then saved reaches both places once.
     """
-    once = pages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["task_id", "url"])
+    lost = F.col("outcome") == "spooled"
+    marked = pages.withWatermark("ts", late).withColumn("_lost", lost)
+    once = marked.dropDuplicatesWithinWatermark(["task_id", "url", "_lost"]).drop("_lost")
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        lost = F.col("outcome") == "spooled"
         write_batch(batch.where(~lost), batch_id, sink)
         write_batch(batch.where(lost), batch_id, spool)
         batch.unpersist()
@@ -47,7 +50,7 @@ def page_ingest(pages: DataFrame, sink: str, spool: str, late: str = LATE) -> Da
 
 
 def outcome_counts(log: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
-    """saved, rejected and spooled per task and window; a window is final once the watermark passes it."""
+    """saved, rejected and spooled per task and window, for `write_counts`; windows stay open until the watermark passes."""
     return (
         log.withWatermark("ts", late)
         .groupBy(F.window("ts", window), "task_id")
@@ -57,18 +60,31 @@ def outcome_counts(log: DataFrame, window: str = "1 hour", late: str = LATE) ->
     )
 
 
+def write_counts(counts: DataFrame, out: str) -> DataStreamWriter:
+    """Each micro-batch writes the windows it changed, those still open included; `read_counts` takes the last of each."""
+    return counts.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, i, out))
+
+
+def read_counts(written: DataFrame) -> DataFrame:
+    """The latest counts per task and window of what `write_counts` wrote."""
+    values = F.struct("saved", "rejected", "spooled")
+    latest = written.groupBy("task_id", "start", "end").agg(F.max_by(values, "batch_id").alias("v"))
+    return latest.select("task_id", "start", "end", "v.*")
+
+
 def progress_throttle(pings: DataFrame, out: str, state: str, seconds: float = 1.0) -> DataStreamWriter:
     """`throttle_progress` over micro-batches: kept pings to `out`, the last kept time per task to `state`.
 
     A micro-batch runs the batch operator behind one extra row per task, its last kept ping, so a
-    task with most of the pings is spread as in batch. State of batch n is written whole and read by
+    task with most of the pings is spread as in batch. A late ping takes part at the time of the last
+    kept one, but keeps its own `ts` in the output. State of batch n is written whole and read by
     batch n + 1, and both are overwritten on a replay.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = batch.columns
-        fresh = batch.withColumn("_old", F.lit(False))
+        fresh = batch.withColumns({"_old": F.lit(False), "_given": F.col("ts")})
         before = None
         if batch_id > 0:
             before = spark.read.schema("task_id string, last timestamp").parquet(f"{state}/batch_id={batch_id - 1}")
@@ -83,7 +99,7 @@ def progress_throttle(pings: DataFrame, out: str, state: str, seconds: float = 1
             )
             fresh = fresh.unionByName(seeds, allowMissingColumns=True)
         kept = throttle_progress(fresh, seconds).persist()
-        write_batch(kept.where("not _old").select(*columns), batch_id, out)
+        write_batch(kept.where("not _old").withColumn("ts", F.col("_given")).select(*columns), batch_id, out)
         last = kept.groupBy("task_id").agg(F.max("ts").alias("last"))
         write_batch(last, batch_id, state)
         kept.unpersist()
@@ -96,27 +112,69 @@ def log_tail(lines: DataFrame, out: str) -> DataStreamWriter:
     return lines.writeStream.format("parquet").option("path", out).outputMode("append")
 
 
-def spool_retry(spool: DataFrame, replies: DataFrame, out: str, limit: int | None = None) -> DataStreamWriter:
-    """Offer spooled pages again per micro-batch and write the outcome of each.
+def spool_retry(
+    spool: DataFrame, replies: DataFrame, out: str, state: str, limit: int | None = None
+) -> DataStreamWriter:
+    """Offer spooled pages again per micro-batch and write the outcome of each that is settled.
 
-    `maxFilesPerTrigger` on the source bounds a micro-batch; `limit` bounds the pages offered in it,
-    and pages beyond it are written as `remaining`.
+    Pages beyond `limit`, without an answer, or that failed for the time being are kept in `state` and
+    offered again with the next micro-batch, the oldest first; `out` gets recovered, rejected and
+    dropped pages only. State of batch n is written whole and overwritten on a replay. `read_spool_left`
+    gives what still waits; `flush_left` offers it once more when no new pages arrive.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        flushed = flush_spool(batch, replies, limit)
-        if limit is not None:
-            offered = flushed.select("spool_id")
-            rest = batch.join(offered, "spool_id", "left_anti").withColumn("flush_outcome", F.lit("remaining"))
-            flushed = flushed.unionByName(rest)
-        write_batch(flushed, batch_id, out)
+        spark = batch.sparkSession
+        waiting = batch
+        if batch_id > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{state}/batch_id={batch_id - 1}")
+            waiting = batch.unionByName(before)
+        # a page spooled twice is one page
+        _flush_once(waiting.dropDuplicates(["spool_id"]), replies, limit, batch_id, out, state)
 
     return spool.writeStream.foreachBatch(flush)
 
 
+def _flush_once(waiting: DataFrame, replies: DataFrame, limit: int | None, batch_id: int, out: str, state: str) -> None:
+    flushed = flush_spool(waiting, replies, limit).persist()
+    settled = flushed.where("flush_outcome <> 'remaining'")
+    write_batch(settled, batch_id, out)
+    left = waiting.join(settled.select("spool_id"), "spool_id", "left_anti").select(*waiting.columns)
+    write_batch(left, batch_id, state)
+    flushed.unpersist()
+
+
+def last_state(spark: SparkSession, state: str) -> int | None:
+    """Number of the last micro-batch in a state folder."""
+    folder, fs = hadoop_path(spark, state)
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return max((int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")), default=None)
+
+
+def read_spool_left(spark: SparkSession, state: str, schema) -> DataFrame:
+    """Pages that still wait after the last micro-batch."""
+    last = last_state(spark, state)
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{state}/batch_id={last}")
+
+
+def flush_left(spark: SparkSession, replies: DataFrame, out: str, state: str, schema, limit: int | None = None) -> None:
+    """Offer what waits once more, outside the stream; its results take the place of the last micro-batch's state.
+
+    Run between runs of the stream. The settled pages are written beside those of that micro-batch.
+    """
+    last = last_state(spark, state)
+    if last is None:
+        return
+    left = cut(read_spool_left(spark, state, schema))
+    flushed = cut(flush_spool(left, replies, limit))
+    settled = flushed.where("flush_outcome <> 'remaining'")
+    settled.write.mode("append").parquet(f"{out}/batch_id={last}")
+    write_batch(left.join(settled.select("spool_id"), "spool_id", "left_anti").select(*left.columns), last, state)
+
+
 def last_heartbeats(heartbeats: DataFrame, out: str, late: str = LATE) -> DataStreamWriter:
     """Latest heartbeat per node, in update mode; each micro-batch writes the nodes it moved."""
     last = heartbeats.withWatermark("ts", late).groupBy("node").agg(F.max("ts").alias("ts"))
     return last.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, i, out))
-
-

@@ -51,10 +51,8 @@ def graphs():
     return pages, links, tasks
 
 
-@pytest.mark.parametrize("one_task_rows", [1_000_000, 0])
-def test_crawls_equal_a_queue(spark, graphs, monkeypatch, one_task_rows, many_partitions):
+def test_crawls_equal_a_queue(spark, graphs, monkeypatch, many_partitions):
     pages, links, tasks = graphs
-    monkeypatch.setattr(C, "_ONE_TASK_ROWS", one_task_rows)
     monkeypatch.setattr(C, "_PARENTS", 2)
     monkeypatch.setattr(C, "_COMPACT_EVERY", 3)
     snapshot = as_snapshot(spark.createDataFrame(pages, "page_id long, url string, html string"))
@@ -142,3 +140,19 @@ def test_html_is_not_carried_through_the_crawl(spark, small):
         plan = df._jdf.queryExecution().executedPlan().toString()
         for line in plan.splitlines():
             assert "Exchange" not in line or "html" not in line
+
+
+def test_any_place_of_a_link(spark):
+    top = 2**63 - 1
+    rows = [("a", 1, 2**24), ("a", 2, 5), ("b", 1, top), ("b", 1, 2**40), ("c", top, top), ("c", top, 0)]
+    df = spark.createDataFrame(rows, "url string, parent_rank long, pos long")
+    got = {r.url: (r.parent_rank, r.pos) for r in C.first_occurrence(df, ["url"]).collect()}
+    assert got == {"a": (1, 2**24), "b": (1, 2**40), "c": (top, 0)}
+
+
+def test_long_pages_are_read_whole(spark):
+    html = "x" * 3_000_100 + '<a href="/late"><title>late</title>'
+    snapshot = as_snapshot(spark.createDataFrame([(1, "http://h/a", html)], "page_id long, url string, html string"))
+    assert [r.dst_url for r in C.link_table(snapshot).collect()] == ["http://h/late"]
+    assert C.link_table(snapshot, limit=3_000_000).count() == 0
+    assert C.fetch(snapshot.select("url"), snapshot).first().title == "late"

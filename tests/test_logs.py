@@ -38,6 +38,7 @@ def node_logs(tmp_path):
     files = {
         "c/l/t1.jsonl": f"{page}\n\n{{broken\n5\n{summary}\n",
         "c/l/empty.jsonl": "",
+        "c/l/m/n/o/t7.jsonl": page.replace("t1", "t7"),
         "_unfiled/w/t2.jsonl": page.replace("t1", "t2"),
         "_posted/c/t3.jsonl": page.replace("t1", "t3"),
         "_posted/t3.jsonl": page.replace("t1", "t3"),
@@ -56,9 +57,13 @@ def test_tolerant_scan(spark, node_logs):
     got = sorted((r.task_id, r.kind or "", r.bytes, r.http_status) for r in rows.collect())
     assert got == [
         ("t1", "_summary", None, None), ("t1", "page", 7, None), ("t2", "page", 7, None), ("t5", "page", 7, None),
-        ("t6", "", None, 404),
+        ("t6", "", None, 404), ("t7", "page", 7, None),
     ]
-    assert rows.count() == 5
+    assert rows.count() == 6
+    assert S.read_log(spark, node_logs, archive="_unfiled").where("task_id = 't3'").count() == 2
+    with pytest.raises(ValueError):
+        S.stream_log(spark, node_logs)
+    assert S.stream_log(spark, node_logs, depth=6).isStreaming
 
 
 def _log(spark, rows):

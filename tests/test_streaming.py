@@ -38,6 +38,7 @@ def test_throttle_ignores_late_pings(spark, tmp_path):
     arrive([("a", 101, 3, 9), ("a", 110, 4, 9), ("a", 112, 5, 9), ("b", 1, 1, 9)])
     arrive([("a", 113, 9, 9)])
     kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).collect()
+    assert {r.done: r.ts.second for r in kept if r.task_id == "a"}[5] == 112 - 60
     assert sorted((r.task_id, r.done) for r in kept) == [("a", 1), ("a", 2), ("a", 5), ("a", 9), ("b", 1)]
 
 
@@ -55,6 +56,29 @@ def test_ingest_once(spark, tmp_path):
     assert [r.url for r in spark.read.parquet(str(tmp_path / "spool")).collect()] == ["u0"]
 
 
+def test_late_pings_keep_their_time(spark, tmp_path):
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
+        df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
+        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), str(tmp_path / "state"), 5.0), str(tmp_path / "ck"))
+
+    arrive([("a", 120, 1, 9)])
+    arrive([("a", 110, 9, 9)])  # completes the task, but comes late
+    kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).select("done", F.unix_seconds("ts")).collect()
+    assert sorted(map(tuple, kept)) == [(1, 120), (9, 110)]
+
+
+def test_a_spooled_page_that_is_saved_later(spark, tmp_path):
+    for s, outcome in ((1, "spooled"), (2, "saved"), (3, "saved")):
+        page = spark.createDataFrame([("t", "u", s, outcome)], "task_id string, url string, s long, outcome string")
+        page = page.select("task_id", "url", F.timestamp_seconds("s").alias("ts"), "outcome")
+        page.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(page.schema).parquet(str(tmp_path / "in"))
+        J.run_available(J.page_ingest(stream, str(tmp_path / "pages"), str(tmp_path / "spool")), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "pages")).count() == 1 == spark.read.parquet(str(tmp_path / "spool")).count()
+
+
 def test_tail_reads_each_file_once(spark, tmp_path):
     folder = tmp_path / "logs" / "_unfiled" / "w"
     folder.mkdir(parents=True)
@@ -67,16 +91,27 @@ def test_tail_reads_each_file_once(spark, tmp_path):
     assert tailed.count() == 2 == S.read_log(spark, str(tmp_path / "logs")).count()
 
 
-def test_spool_retry_with_limit(spark, tmp_path):
+def test_spool_retry_until_nothing_is_left(spark, tmp_path):
     spool = spark.range(10).select(F.col("id").alias("spool_id"), F.col("id").alias("spooled_at"))
-    spool.write.parquet(str(tmp_path / "in"))
-    replies = spool.select(
-        "spool_id",
-        F.lit(True).alias("has_reply"),
-        F.lit(True).alias("saved"),
-        F.lit(None).cast("string").alias("message"),
-        F.lit(None).cast("int").alias("status_code"),
-    )
-    stream = spark.readStream.schema(spool.schema).parquet(str(tmp_path / "in"))
-    J.run_available(J.spool_retry(stream, replies, str(tmp_path / "out"), limit=4), str(tmp_path / "ck"))
-    assert tuple(flush_totals(spark.read.parquet(str(tmp_path / "out"))).first()) == (4, 0, 0, 6)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    busy = F.when(F.col("spool_id") == 3, F.lit("503: later"))
+
+    def replies(message):
+        return spool.select(
+            "spool_id", F.lit(True).alias("has_reply"), F.lit(True).alias("saved"), message.cast("string").alias("message"),
+            F.lit(None).cast("int").alias("status_code"),
+        )
+
+    def settled():
+        rows = [r.spool_id for r in spark.read.parquet(out).collect()]
+        return sorted(rows) if len(rows) == len(set(rows)) else rows
+
+    for first in (0, 6):
+        spool.where(F.col("spool_id").between(first, first + (5 if first == 0 else 3))).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spool.schema).parquet(str(tmp_path / "in"))
+        J.run_available(J.spool_retry(stream, replies(busy), out, state, limit=4), str(tmp_path / "ck"))
+    assert settled() == [0, 1, 2, 4, 5, 6]  # 3 failed for now, 4 and 5 waited a batch, 7 to 9 still do
+    assert sorted(r.spool_id for r in J.read_spool_left(spark, state, spool.schema).collect()) == [3, 7, 8, 9]
+    J.flush_left(spark, replies(F.lit(None)), out, state, spool.schema, limit=4)
+    assert settled() == list(range(10)) and J.read_spool_left(spark, state, spool.schema).count() == 0
+    assert flush_totals(spark.read.parquet(out)).first().recovered == 10

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitegraph.operators.pages import crawl_pages, crawl_single, list_totals
-from sitegraph.operators.registry import execute_tasks, register, supported_task_types
+from sitegraph.operators.registry import execute_tasks
 from sitegraph.schemas import TASK
 from sitegraph.sources import tasks as T
 from sitegraph.sources.snapshot import as_snapshot
@@ -70,16 +70,25 @@ def test_single_and_list(spark):
 
 
 def test_user_handler_and_hook(spark):
-    @register("count_only")
     def count_only(tasks, snapshot, unique, hook):
         one = F.lit(1).cast("long")
         return tasks.select(F.col("id").alias("task_id"), *[one.alias(c) for c in ("pages_crawled", "pages_saved", "links_found", "errors", "elapsed_ms")])
 
-    assert "count_only" in supported_task_types()
     tasks = tasks_of(spark, ("1", "count_only", {}), ("2", "crawl_single", {"url": "http://h/a"}))
 
     def refuse(pages):
         return pages.withColumns({"outcome": F.lit("rejected"), "reason": F.lit("policy")})
 
-    got = {r.task_id: (r.status, r.pages_saved) for r in execute_tasks(tasks, snapshot_of(spark), hook=refuse).collect()}
+    got = {r.task_id: (r.status, r.pages_saved) for r in execute_tasks(
+        tasks, snapshot_of(spark), hook=refuse, handlers={"count_only": count_only}
+    ).collect()}
     assert got == {"1": ("succeeded", 1), "2": ("succeeded", 0)}
+
+
+def test_read_tasks_takes_any_spelling_of_a_number(spark, tmp_path):
+    spelled = ['20', '"20"', '20.0', '"20.0"', 'null', '"many"', '0']
+    lines = [f'{{"id": "{k}", "task_type": "crawl", "payload": {{"url": "u", "max_pages": {v}}}}}' for k, v in enumerate(spelled)]
+    (tmp_path / "tasks.json").write_text("\n".join(lines))
+    tasks = T.read_tasks(spark, str(tmp_path / "tasks.json"))
+    assert tasks.schema["payload"].dataType["max_pages"].dataType == TASK["payload"].dataType["max_pages"].dataType
+    assert [r[0] for r in tasks.orderBy("id").select("payload.max_pages").collect()] == [20, 20, 20, 20, None, None, 0]
