@@ -897,7 +897,7 @@ def stream_spool_retry(spark, sf_dir):
     replies = V.spool_replies(spool)
     J.run_available(J.spool_retry(arriving, replies, f"{base}/out", f"{base}/state"), f"{base}/checkpoint")
     left = J.read_spool_left(spark, f"{base}/state", arriving.schema).withColumn("flush_outcome", F.lit("remaining"))
-    settled = spark.read.schema(left.schema).parquet(f"{base}/out")
+    settled = spark.read.schema(left.schema).parquet(f"{base}/out").drop("batch_id")
     return DO.flush_totals(settled.unionByName(left))
 
 
