@@ -11,7 +11,7 @@ from sitegraph.functions.urls import normalize_url, url_netloc
 from sitegraph.operators.links import link_table
 from sitegraph.operators.running import Running, number_rows, running
 from sitegraph.session import bucketed, cut
-from sitegraph.sources.snapshot import fetch
+from sitegraph.sources.snapshot import fetch, only
 
 DEFAULT_BUDGET = 50
 # Parents per numbering bucket; a bucket then holds the new links of at most this many pages.
@@ -125,9 +125,10 @@ def discover(
     """
     wanted = crawl_starts(tasks)
     starts = wanted.groupBy("start").agg(F.max("budget").alias("budget"))
-    if edges is None:
-        edges = link_table(snapshot, unique)
     hosts = wanted.select(F.col("host").alias("dst_host")).distinct()
+    if edges is None:
+        # a crawl stays on its host, so only pages of the hosts asked for are read for links
+        edges = link_table(only(snapshot, url_netloc(F.col("url")), hosts), unique)
     with bucketed(edges.join(hosts, "dst_host", "left_semi"), "edges", "src_url") as in_scope:
         ranked = rank_sites(starts, in_scope)
     mine = wanted.join(ranked, "start").where("parent_rank <= greatest(budget, 0)")

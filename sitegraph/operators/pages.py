@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
+from sitegraph.functions.urls import normalize_url
 from sitegraph.operators.crawl import default_hook, elapsed_seconds
-from sitegraph.sources.snapshot import fetch
+from sitegraph.sources.snapshot import fetch, only
 from sitegraph.sources.tasks import nonempty_pages
 
 SUMMARY = ["url", "http_status", "title", "content_length", "elapsed_ms"]
@@ -47,10 +48,14 @@ def meta_last_wins(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("page_id", "key").agg(F.max_by("value", "pos").alias("value"))
 
 
+def _asked_for(asked: DataFrame, snapshot: DataFrame) -> DataFrame:
+    return only(snapshot, F.col("url"), asked.select(normalize_url(F.col("url")).alias("url")))
+
+
 def crawl_single(tasks: DataFrame, snapshot: DataFrame, unique: bool = False, hook=default_hook) -> DataFrame:
     """One page per task: summary, meta and whether it was saved; an absent page fails the task."""
     asked = tasks.select(F.col("id").alias("task_id"), "task_type", F.col("payload.url").alias("url"))
-    page = hook(fetch(asked, snapshot, unique))
+    page = hook(fetch(asked, _asked_for(asked, snapshot), unique))
     meta = [H.meta_value(F.col("meta"), k).alias(k.replace(":", "_")) for k in H.META_KEYS]
     return page.select(
         "task_id",
@@ -68,7 +73,7 @@ def crawl_pages(tasks: DataFrame, snapshot: DataFrame, unique: bool = False, hoo
     asked = tasks.select(
         F.col("id").alias("task_id"), F.posexplode(nonempty_pages(F.col("payload.pages"))).alias("pos", "url")
     )
-    return hook(fetch(asked, snapshot, unique))
+    return hook(fetch(asked, _asked_for(asked, snapshot), unique))
 
 
 def list_totals(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import html as H
@@ -10,6 +10,8 @@ from sitegraph.functions.urls import normalize_url
 
 NOT_FOUND = "not in snapshot"
 _HASHED = "hashed"
+#: Keys (URLs or hosts, some 100 bytes each) that are broadcast to filter pages before extraction.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def as_snapshot(pages: DataFrame) -> DataFrame:
@@ -36,6 +38,18 @@ def as_snapshot(pages: DataFrame) -> DataFrame:
     )
 
 
+def only(snapshot: DataFrame, place: Column, wanted: DataFrame) -> DataFrame:
+    """The pages whose `place` is in the one column of `wanted`, found before anything is extracted from them.
+
+    html is not shuffled for it: few wanted values are broadcast, and with more than
+    `MAX_BROADCAST_KEYS` all pages stay, since the joins after extraction leave the others out anyway.
+    """
+    values = wanted.select(F.col(wanted.columns[0]).alias("_wanted")).distinct()
+    if values.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
+        return snapshot
+    return snapshot.join(F.broadcast(values), place == F.col("_wanted"), "left_semi")
+
+
 def first_copies(snapshot: DataFrame) -> DataFrame:
     """The page_id kept for each URL; reads no html."""
     return snapshot.groupBy("url").agg(F.min("page_id").alias("page_id"))
