@@ -52,10 +52,15 @@ def _asked_for(asked: DataFrame, snapshot: DataFrame) -> DataFrame:
     return only(snapshot, F.col("url"), asked.select(normalize_url(F.col("url")).alias("url")))
 
 
+def single_pages(tasks: DataFrame, snapshot: DataFrame, unique: bool = False, hook=default_hook) -> DataFrame:
+    """The page of each task as fetched, with the hook's verdict."""
+    asked = tasks.select(F.col("id").alias("task_id"), "task_type", F.col("payload.url").alias("url"))
+    return hook(fetch(asked, _asked_for(asked, snapshot), unique))
+
+
 def crawl_single(tasks: DataFrame, snapshot: DataFrame, unique: bool = False, hook=default_hook) -> DataFrame:
     """One page per task: summary, meta and whether it was saved; an absent page fails the task."""
-    asked = tasks.select(F.col("id").alias("task_id"), "task_type", F.col("payload.url").alias("url"))
-    page = hook(fetch(asked, _asked_for(asked, snapshot), unique))
+    page = single_pages(tasks, snapshot, unique, hook)
     meta = [H.meta_value(F.col("meta"), k).alias(k.replace(":", "_")) for k in H.META_KEYS]
     return page.select(
         "task_id",

@@ -17,6 +17,7 @@ from sitegraph.operators import delivery as DO
 from sitegraph.operators import links as L
 from sitegraph.operators import logs as G
 from sitegraph.operators import pages as P
+from sitegraph.operators.crawl_log import crawl_log as log_of_tasks
 from sitegraph.operators.progress import throttle_progress
 from sitegraph.operators.registry import execute_tasks
 from sitegraph.plans import oracles as O
@@ -981,5 +982,48 @@ def page_hook(spark, sf_dir):
     return pages.select("task_id", "pos", "url", "outcome", "reason")
 
 
+_TASK_PAGES = f"""SELECT c.id AS task_id, c.url, f.title, f.content_length,
+  CASE WHEN f.page_url IS NULL THEN 'not in snapshot' END AS error FROM checked c LEFT JOIN facts f ON f.page_url = c.url
+  WHERE c.error IS NULL AND c.task_type IN ('crawl_single', 'crawl_single:meta', 'extract_meta')
+UNION ALL SELECT task_id, url, title, content_length, error FROM ({_LIST_PAGES})
+UNION ALL SELECT task_id, url, title, content_length, error FROM site_tasks_visited"""
+
+_VERDICT = """CASE WHEN error IS NOT NULL THEN 'error' WHEN content_length >= 3000 THEN 'saved'
+  WHEN content_length >= 1500 THEN 'rejected' ELSE 'spooled' END"""
+
+
+@query(
+    f"""SELECT c.id AS task_id, c.task_type, c.client_id, c.website_id, c.url AS start_url, 'page' AS kind, p.url,
+  p.outcome, p.title, p.content_length AS bytes, NULL AS status, NULL::BIGINT AS saved, NULL::BIGINT AS rejected,
+  NULL::BIGINT AS spooled, NULL::BIGINT AS pages_crawled, NULL::BIGINT AS errors
+FROM (SELECT *, {_VERDICT} AS outcome FROM ({_TASK_PAGES})) p JOIN checked c ON c.id = p.task_id
+UNION ALL SELECT c.id, c.task_type, c.client_id, c.website_id, c.url, '_summary', NULL, NULL, NULL, NULL,
+  CASE WHEN f THEN 'failed' ELSE 'succeeded' END, coalesce(saved, 0), coalesce(rejected, 0), coalesce(spooled, 0),
+  CASE WHEN f THEN 0 ELSE coalesce(n, 0) END, CASE WHEN f THEN 1 ELSE coalesce(errors, 0) END
+FROM (SELECT c.*, s.* EXCLUDE (task_id), c.error IS NOT NULL
+    OR (c.task_type IN ('crawl_single', 'crawl_single:meta', 'extract_meta') AND s.errors > 0) AS f
+  FROM checked c LEFT JOIN (SELECT task_id, count(*) AS n, count(error) AS errors, count(*) FILTER (outcome = 'saved') AS saved,
+      count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'spooled') AS spooled
+    FROM (SELECT *, {_VERDICT} AS outcome FROM ({_TASK_PAGES})) GROUP BY task_id) s ON s.task_id = c.id) c""",
+    "checked",
+    "facts",
+    "site_tasks_visited",
+)
+def crawl_log(spark, sf_dir):
+    """Tasks of every type, to page lines and summaries."""
+
+    def by_length(pages: DataFrame) -> DataFrame:
+        size = F.col("content_length")
+        kept = F.when(size >= 3000, "saved").when(size >= 1500, "rejected").otherwise("spooled")
+        outcome = F.when(F.col("error").isNotNull(), "error").otherwise(kept)
+        return pages.withColumns({"outcome": outcome, "reason": F.col("error")})
+
+    index, snapshot = _sites(spark, sf_dir)
+    return log_of_tasks(V.mixed_tasks(index), snapshot, unique=True, hook=by_length).select(
+        "task_id", "task_type", "client_id", "website_id", "start_url", "kind", "url", "outcome", "title", "bytes", "status",
+        "saved", "rejected", "spooled", "pages_crawled", "errors",
+    )
+
+
 QUERIES["execute_tasks"] = QUERIES.pop("execute_tasks_by_type")
 ORACLES["execute_tasks"] = ORACLES.pop("execute_tasks_by_type")

@@ -9,7 +9,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in fields.items()])
 
 
-STR, LONG, INT, TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
+STR, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
 
 PAYLOAD = _struct(
     url=STR,
@@ -24,18 +24,6 @@ PAYLOAD = _struct(
 
 TASK = _struct(id=STR, task_type=STR, payload=PAYLOAD)
 
-FETCHED_PAGE = _struct(
-    url=STR,
-    final_url=STR,
-    http_status=INT,
-    content_type=STR,
-    elapsed_ms=LONG,
-    content_length=LONG,
-    title=STR,
-    meta=T.MapType(STR, STR),
-    html=STR,
-)
-
 SPOOLED_PAGE = _struct(
     url=STR, final_url=STR, http_status=INT, title=STR, content_length=LONG, elapsed_ms=LONG, html=STR
 )
@@ -64,7 +52,3 @@ LOG_LINE = _struct(
     errors=LONG,
     elapsed_ms=LONG,
 )
-
-PROGRESS = _struct(task_id=STR, ts=TS, done=LONG, total=LONG, current_url=STR, title=STR)
-HEARTBEAT = _struct(node=STR, ts=TS, worker_version=STR, capabilities=T.ArrayType(STR))
-RECEIPT = _struct(task_id=STR, records=LONG)

@@ -1,19 +1,10 @@
-"""Registered queries against their SQL at the smallest scale.
-
-Queries that repeat a whole-site crawl take seconds each, so a few of them stand for all here;
-`python tests/compare.py <sf_dir>` compares every query.
-"""
+"""Registered queries against their SQL at the smallest scale; `python tests/compare.py <sf_dir>` does so at others."""
 
 import pytest
 
 from compare import difference, duck
 from sitegraph.plans.queries import ORACLES, QUERIES
 
-CRAWLS = {
-    "bfs_rank", "crawl_budget", "crawl_depth", "crawl_totals", "discovered_union", "distinct_links",
-    "first_occurrence", "handler_registry", "page_sink", "undiscovered",
-}
-
 
 @pytest.fixture(scope="module")
 def con(small):
@@ -24,7 +15,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in CRAWLS])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, small, name):
     assert difference(spark, con, small, QUERIES[name], ORACLES[name]) is None
 
