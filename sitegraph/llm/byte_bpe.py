@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +28,7 @@ from sitegraph.llm.common import as_text, slices
 
 #: Bytes encoded without halving; entries each table of a worker holds before it is emptied.
 LEAF_BYTES = 4
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 800_000
 MAX_PIECES = 300_000
 MAX_PAIRS = 1_000_000
 
@@ -45,7 +46,8 @@ class TreeBpe:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.limit = chunks
-        self.chunks: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.decimals = {rank: str(rank) for rank in self.bytes_of}
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
         self.stable_pairs: dict[tuple[int, int], bool] = {}
 
@@ -82,7 +84,7 @@ class TreeBpe:
         while True:
             i = max(0, i - step * grow_left)
             j = min(len(right), j + step * grow_right)
-            middle = self.merged(self.decode(left[i:] + right[:j]))
+            middle = self._window(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             grow_left = i > 0 and not self.stable(left[i - 1], middle[0])
             grow_right = j < len(right) and not self.stable(middle[-1], right[j])
             if not grow_left and not grow_right:
@@ -98,26 +100,38 @@ class TreeBpe:
             else:
                 half = len(data) // 2
                 known = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
-            if len(data) <= 32:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                self.pieces[data] = known
+            self._keep(data, known)
         return known
 
+    def _window(self, data: bytes) -> tuple[int, ...]:
+        known = self.pieces.get(data)
+        if known is None:
+            known = self.merged(data)
+            self._keep(data, known)
+        return known
+
+    def _keep(self, data: bytes, ids: tuple[int, ...]) -> None:
+        if len(data) <= 32:
+            if len(self.pieces) >= MAX_PIECES:
+                self.pieces.clear()
+            self.pieces[data] = ids
+
     def encode_matches(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(self.encode_piece(m.encode()) for m in self.matches(text)))
 
-    def _chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        ids = self.encode_matches(" " + chunk)
-        entry = (" ".join(map(str, ids)), ids)
+    def _chunk(self, chunk: str) -> bytes:
+        known = self.chunks.get(chunk)  # it may have been met earlier in the same text
+        if known is not None:
+            return known
+        entry = array("I", self.encode_matches(" " + chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self.chunks) >= self.limit:
                 self.chunks.clear()
             self.chunks[chunk] = entry
         return entry
 
-    def encode(self, text: str) -> tuple[str, list[int]]:
-        """The ids of a text, as decimals joined by spaces and as numbers."""
+    def encode(self, text: str) -> array:
+        """The ids of a text."""
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             first, *rest = _BORDER.split(text)
@@ -127,11 +141,12 @@ class TreeBpe:
                 first, *rest = _BORDER.split(text)
                 found = list(map(self.chunks.get, rest))
             found = [self._chunk(c) if f is None else f for c, f in zip(rest, found)]
-        head = self.encode_matches(first)
-        ids = list(chain(head, chain.from_iterable(f[1] for f in found)))
-        texts = [" ".join(map(str, head))] if head else []
-        texts += [f[0] for f in found]
-        return " ".join(texts), ids
+        ids = array("I", self.encode_matches(first))
+        ids.frombytes(b"".join(found))
+        return ids
+
+    def as_decimals(self, ids) -> str:
+        return " ".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
         """Halves decoded and concatenated; a leaf is a few hundred tokens."""
@@ -157,12 +172,12 @@ def _digester(path: str, pattern: str, keep_ids: bool):
         for part in slices(batches):
             n, sums, back, kept = [], [], [], []
             for text in as_text(part.column(1)):
-                decimals, ids = bpe.encode(text)
+                ids = bpe.encode(text)
                 n.append(len(ids))
-                sums.append(hashlib.sha256(decimals.encode()).hexdigest())
+                sums.append(hashlib.sha256(bpe.as_decimals(ids).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(ids)
+                    kept.append(ids.tolist())
             columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
