@@ -24,6 +24,8 @@ PAIRS = K - S + 1
 
 #: log2 of the ids a range spans; a range of distinct ids holds no more rows than that.
 RANGE_BITS = 9
+#: Ranges whose first rows are broadcast (some 40 bytes each); beyond that their join shuffles the texts once more.
+BROADCAST_RANGES = 100_000
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -90,6 +92,8 @@ def beside_next(docs: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
             F.bitwise_not("first.down").alias("_head_id"), F.col("first.tie").alias("_head_tie"), "_target"
         )
     )
+    if n <= BROADCAST_RANGES:
+        heads = F.broadcast(heads)
     told = rows.join(
         heads, rows["doc_id"].eqNullSafe(heads["_head_id"]) & (rows["_tie"] == heads["_head_tie"]), "left"
     ).select("doc_id", "text", "_tie", "_range", "_target")
