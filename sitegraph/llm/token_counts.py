@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.llm.common import as_bytes, slices
 from sitegraph.llm.word_tokens import version_of, word_tokens
-from sitegraph.session import hadoop_path
+from sitegraph.session import cut, hadoop_path
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -78,7 +78,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     fill_cache(docs, tokenizer_path, cache_dir)
     version = version_of(tokenizer_path)
     stored = read_cache(docs.sparkSession, cache_dir).where(F.col("tokenizer") == version)
-    counts = stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # cut, so that both sides of the join are shuffled for it and a hot content can be split
+    counts = cut(stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
     rows = docs.select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
