@@ -279,15 +279,18 @@ def components(edges: DataFrame) -> DataFrame:
                 return cut(labels.select("set_id", "label"))
 
 
-def shared_paths(members: DataFrame) -> DataFrame:
-    """set_id, path and n (sets on the path), for paths of two sets or more."""
-    sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def shared_paths(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """set_id, path and n (sets on the path), for paths of two sets or more.
+
+    The sizes are a table of their own, so that the join shuffles both sides for itself and a hot path can be split.
+    """
+    sizes = scratch.keep(members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return members.join(sizes, "path").select("set_id", "path", "n")
 
 
 def candidate_links(classes: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """set_id and link: sets that may be alike, one link per set and bucket."""
-    level = scratch.keep(shared_paths(classes.select("set_id", F.explode("paths").alias("path"))))
+    level = scratch.keep(shared_paths(classes.select("set_id", F.explode("paths").alias("path")), scratch))
     busy = level.select("set_id").distinct()
     active = scratch.keep(classes.select("set_id", "sketch").join(busy, "set_id"))
     leaves = []
@@ -298,7 +301,7 @@ def candidate_links(classes: DataFrame, plan: Plan, scratch: Scratch) -> DataFra
             break
         leaves.append(level.where(~crowded))
         wide = level.where(crowded).join(active, "set_id").select("set_id", "path", "sketch")
-        level = scratch.keep(shared_paths(wide.mapInArrow(_split(plan), "set_id binary, path long")))
+        level = scratch.keep(shared_paths(wide.mapInArrow(_split(plan), "set_id binary, path long"), scratch))
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
