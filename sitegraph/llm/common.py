@@ -28,6 +28,16 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def hash_bound(rows: int, wanted: int) -> int:
+    """A bound on 64-bit hashes below which about twice the wanted rows lie.
+
+    Rows above it are left out before the wanted ones are picked in order, so that what one task or the
+    driver sorts does not grow with the table or its partitions.
+    """
+    share = min(1.0, (2 * wanted + 100) / max(1, rows))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import as_text, crc_of_id, slices
+from sitegraph.llm.common import as_text, crc_of_id, hash_bound, slices
 
 #: Bounds of the model: training documents per language, words and n-grams of each length kept per
 #: language (the most frequent), and languages (those with the most labelled documents).
@@ -162,11 +162,12 @@ def fit(
     languages = sorted(r["lang"] for r in names)
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    ranked = able.select("lang", "_hash").withColumn(
+    near = F.create_map(*[F.lit(x) for r in names for x in (r["lang"], hash_bound(r["count"], sample_docs))])
+    ranked = able.select("lang", "_hash").where(F.col("_hash") <= F.try_element_at(near, F.col("lang"))).withColumn(
         "_k", F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
     )
     bounds = ranked.where(F.col("_k") <= sample_docs).groupBy("lang").agg(F.max("_hash").alias("most"))
-    most = {r["lang"]: r["most"] for r in bounds.where(F.col("lang").isin(languages)).collect()}
+    most = {r["lang"]: r["most"] for r in bounds.collect()}
     table = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
     sample = able.where(F.col("_hash") <= F.try_element_at(table, F.col("lang"))).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, size int, gram string, n long")

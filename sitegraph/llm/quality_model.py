@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import as_bytes, crc_of_id, slices
+from sitegraph.llm.common import as_bytes, crc_of_id, hash_bound, slices
 from sitegraph.llm.trees import Bins, Trees
 from sitegraph.session import cut
 
@@ -121,7 +121,8 @@ def labelled_sample(features: DataFrame, labels: DataFrame, held_out_of: int, ro
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
     )
-    joined = features.join(known, "doc_id").select("doc_id", "features", "quality")
+    near = F.xxhash64("doc_id") <= hash_bound(known.count(), rows)
+    joined = features.join(known.where(near), "doc_id").select("doc_id", "features", "quality")
     taken = joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     if not len(taken):
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)

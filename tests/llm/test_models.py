@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegraph.llm import language
-from sitegraph.llm.common import documents
+from sitegraph.llm.common import documents, hash_bound
 from sitegraph.llm.language import Model, Scorer, fit, grams_of, identify, predict_languages, training_part, words_of
 from sitegraph.llm.quality_model import FEATURES, fit_trees, probabilities, quality_scores, statistics
 
@@ -126,3 +126,10 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == 4 and len({r.score for r in rows}) == 1
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
     assert quality_scores(docs, labels.limit(0)).count() == 4 and quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_hash_bound(spark):
+    docs = spark.range(100_000).select(F.xxhash64("id").alias("h"))
+    below = docs.where(F.col("h") <= hash_bound(100_000, 1000)).count()
+    assert 1800 < below < 2500
+    assert hash_bound(10, 1000) == 2**63 - 1 and hash_bound(0, 5) == 2**63 - 1
