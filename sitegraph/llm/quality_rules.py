@@ -153,8 +153,10 @@ def kept_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()
     rejected = host_verdicts(judged, "_host", rules).where("host_rejected").select(F.col("_host").alias("_name"))
     named = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select([F.col(c).alias(n) for c, n in named.items()])
-    counted = with_counts(renamed.withColumn("text", F.col(named["text"])), rules).where("NOT base_failed")
-    passed = counted.join(rejected, counted[named[host]].eqNullSafe(rejected["_name"]), "left_anti")
+    # The row id keeps the filter above the counts: pushed below, it would repeat them inside each other.
+    counted = with_counts(renamed.withColumn("text", F.col(named["text"])), rules)
+    good = counted.withColumn("_row", F.monotonically_increasing_id()).where("NOT base_failed AND _row >= 0")
+    passed = good.join(rejected, good[named[host]].eqNullSafe(rejected["_name"]), "left_anti")
     return passed.select([F.col(n).alias(c) for c, n in named.items()])
 
 
