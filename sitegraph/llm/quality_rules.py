@@ -21,6 +21,9 @@ WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
 
+#: Rejected hosts that are broadcast, some 50 bytes each; beyond that their join shuffles the texts.
+BROADCAST_HOSTS = 100_000
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -146,11 +149,13 @@ def kept_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()
     """The rows of `docs` that the rules keep, with their columns.
 
     Counts are made twice, once for the hosts and once beside the text, so that texts are not
-    shuffled: only rejected hosts are joined, and they are few.
+    shuffled: only rejected hosts are joined, and up to `BROADCAST_HOSTS` of them are broadcast.
     """
     narrow = docs.select("doc_id", "text", F.col(host).alias("_host"))
     judged = cut(with_counts(narrow, rules).select("_host", "base_failed"))
-    rejected = host_verdicts(judged, "_host", rules).where("host_rejected").select(F.col("_host").alias("_name"))
+    rejected = cut(host_verdicts(judged, "_host", rules).where("host_rejected").select(F.col("_host").alias("_name")))
+    if rejected.count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
     named = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select([F.col(c).alias(n) for c, n in named.items()])
     # The row id keeps the filter above the counts: pushed below, it would repeat them inside each other.
