@@ -160,3 +160,12 @@ def test_odd_findings(spark):
     assert judged_findings(none, fit(none, weak_labels(findings(none)))).count() == 0 and masked(none, model).count() == 0
     c = Candidate(0, 9, "", "123456789", False, ())
     assert len(features_of(c, "", frozenset())) == len(FEATURES)
+
+
+def test_rare_secrets_are_in_the_sample(spark):
+    texts = [f"id: {k * 7368787:012d}" for k in range(3000)] + SECRETS[:4]
+    docs = _docs(spark, texts)
+    labelled = weak_labels(findings(docs))
+    rows = judged_findings(docs, fit(docs, labelled, sample=60)).collect()
+    assert {r.doc_id for r in rows if r.secret} == {3000, 3001, 3002, 3003}
+    assert all(r.secret for r in judged_findings(docs, fit(docs, labelled.where("label = 0"))).collect())
