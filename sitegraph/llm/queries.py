@@ -17,6 +17,10 @@ from sitegraph.llm.license_scan import license_matches
 from sitegraph.llm.packing import pack_documents
 from sitegraph.llm.quality_model import quality_scores
 from sitegraph.llm.token_counts import token_counts
+from sitegraph.llm.topk_search import ORACLE as TOPK_ORACLE
+from sitegraph.llm.topk_search import top_k
+from sitegraph.llm.vector_codes import encode as vector_codes
+from sitegraph.llm.whitening import whiten
 from sitegraph.session import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +69,22 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(embeddings(spark, sf_dir)).drop("eigenvalue")
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(embeddings(spark, sf_dir)).select("query_id", "rank", "vec_id", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(embeddings(spark, sf_dir)).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -76,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_syncmer_fingerprints": op10_syncmer_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE, "op12_exact_topk": TOPK_ORACLE}
