@@ -5,82 +5,170 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.operators.running import Running, number_rows, range_buckets, running
-from sitegraph.session import cut
+from sitegraph.operators.running import number_rows, range_buckets
 
 
 def throttle_progress(pings: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Keep the first ping of a task, each ping at least `seconds` after the last kept, and done = total.
 
-    Tasks with a single page send no pings. The rule is sequential, but a ping whose predecessor is
-    `seconds` older, or that completes its task, is kept whatever came before; the rows between two
-    such pings form a run of their own, which is followed from kept ping to kept ping by pointer
-    doubling. Numbering and runs are found in range buckets, so a task with a third of all pings is
-    spread over many Spark tasks.
+    Tasks with a single page (total <= 1) send no pings; a NULL task_id is a task like any other.
+    Pings are cut into ranges of (task_id, time, done) of about equal size, so a task with a third of
+    all pings spans many ranges. Each range is walked once, in order, by a segmented scan:
+
+    1. Inside a range, every ping gets the next ping kept after it (the first at least `seconds`
+       later, or the next that completes its task) and, walking backwards, the last ping kept in the
+       range if the walk enters at it. The range of a task is thereby a function from the last kept
+       time before it to the last kept time after it: a step function of few steps, since a walk can
+       only enter at a ping less than `seconds` after the range's first one. Only ranges that go on a
+       task of an earlier range send it on.
+    2. The functions of a task's ranges are composed in order, which gives each range its entry time.
+       A task meets a range boundary at most once per boundary, so these are at most as many rows as
+       ranges and are passed to the last step as a table of that size.
+    3. Each range is walked again from its entry time and yields the kept pings.
+
+    The ranges are one range partitioning, written once; steps 1 and 3 read it without a shuffle.
     """
     wait = int(seconds * 1_000_000)
     many = pings.where(F.coalesce(F.col("total"), F.lit(1)) > 1)
     timed = many.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     placed = range_buckets(timed, ["task_id"], ["_us", "done"], "_range")
-    numbered = running(
-        placed,
-        ["task_id"],
-        F.col("_range"),
-        [F.col("_us"), F.col("done")],
-        [Running("_seq", F.lit(1).cast("long")), Running("_prev", F.col("_us"), "max", inclusive=False)],
-    )
-    last = F.col("done") == F.col("total")
-    anchor = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= wait) | last
-    marked = cut(numbered.withColumn("_anchor", F.when(anchor, F.col("_seq"))))
-    runs = cut(
-        running(
-            marked, ["task_id"], F.col("_range"), [F.col("_seq")], [Running("_run", F.col("_anchor"), "max")]
-        ).drop("_anchor", "_prev")
-    )
-    return _follow_runs(runs, wait).select(*pings.columns)
-
-
-def _follow_runs(runs: DataFrame, wait: int) -> DataFrame:
-    """Keep what is reached from each run's first ping by "next ping at least `wait` later".
-
-    The pointers are doubled each round, so a run with n kept pings takes log2(n) rounds of joins on
-    unique keys; no run is ever held in one place.
-    """
-    rows = runs
-    # Pings and the moments they allow the next one, in one order: the number of pings before such
-    # a moment says which ping comes next. At equal times the moment sorts first.
-    moments = rows.select("task_id", "_run", (F.col("_us") + wait).alias("_at"), "_seq", F.lit(0).alias("_ping"))
-    stops = rows.select("task_id", "_run", F.col("_us").alias("_at"), "_seq", F.lit(1).alias("_ping"))
-    line = range_buckets(moments.unionByName(stops), ["task_id", "_run"], ["_at", "_ping", "_seq"], "_range")
-    ahead = running(
-        line,
-        ["task_id", "_run"],
-        F.col("_range"),
-        [F.col("_at"), F.col("_ping"), F.col("_seq")],
-        [Running("_before", F.col("_ping").cast("long"))],
-    )
-    # A run's pings are numbered from its anchor without gaps.
-    ends = rows.groupBy("task_id", "_run").agg(F.max("_seq").alias("_end"))
-    jump = cut(
-        ahead.where("_ping = 0")
-        .join(ends, ["task_id", "_run"])
-        .withColumn("_next", F.col("_run") + F.col("_before"))
-        .where(F.col("_next") <= F.col("_end"))
-        .select("task_id", F.col("_seq").alias("_from"), "_next")
-    )
-    kept = ends.select("task_id", F.col("_run").alias("_seq"))
-    while not jump.isEmpty():
-        reached = kept.join(jump, (kept._seq == jump._from) & kept.task_id.eqNullSafe(jump.task_id)).select(
-            kept.task_id, F.col("_next").alias("_seq")
-        )
-        kept = cut(kept.unionByName(reached))
-        hop = jump.select(F.col("task_id").alias("_t"), F.col("_from").alias("_via"), F.col("_next").alias("_then"))
-        jump = cut(
-            jump.join(hop, (F.col("_next") == F.col("_via")) & F.col("task_id").eqNullSafe(F.col("_t"))).select(
-                "task_id", "_from", F.col("_then").alias("_next")
-            )
-        )
-    return rows.join(kept, ["task_id", "_seq"], "left_semi")
+    ordered = placed.sortWithinPartitions(F.col("task_id").asc_nulls_first(), "_us", "done")
+    summaries = ordered.mapInPandas(lambda it: _range_functions(it, wait), _FUNCTIONS)
+    chained = summaries.groupBy("task_id").applyInPandas(lambda key, df: _chain(df, wait), _ENTRIES).collect()
+    # at most two rows per range: bounded by the number of partitions, not by the pings
+    entries = {(r["task_id"], r["_range"]): r["_in"] for r in chained}
+    kept = ordered.mapInPandas(lambda it: _kept_pings(it, wait, entries), placed.schema)
+    return kept.select(*pings.columns)
+
+
+_FUNCTIONS = "task_id string, _range int, _first boolean, _at array<long>, _out array<long>, _fresh long"
+_ENTRIES = "task_id string, _range int, _in long"
+_NONE = -(1 << 62)
+
+
+def _walk(us, done, total, wait):
+    """(next, exit): the next kept ping after each ping, and the last kept ping when entering at it."""
+    import numpy as np
+
+    m = len(us)
+    last = (done == total) & ~np.isnan(done) & ~np.isnan(total)
+    after = np.searchsorted(us, us + wait, side="left")
+    after = np.maximum(after, np.arange(1, m + 1))
+    flag_next = np.full(m + 1, m, dtype=np.int64)
+    for i in range(m - 1, -1, -1):
+        flag_next[i] = i if last[i] else flag_next[i + 1]
+    nxt = np.minimum(after, flag_next[np.minimum(np.arange(1, m + 1), m)])
+    exit_ = np.arange(m)
+    for i in range(m - 1, -1, -1):
+        if nxt[i] < m:
+            exit_[i] = exit_[nxt[i]]
+    return nxt, exit_, (int(flag_next[0]) if flag_next[0] < m else m)
+
+
+def _entry(us, first_flag, at, wait):
+    """Index of the ping a walk enters at when the last kept time is `at` (None: the first ping)."""
+    import numpy as np
+
+    if at is None:
+        return 0
+    return min(int(np.searchsorted(us, at + wait, side="left")), first_flag)
+
+
+def _groups(batches):
+    """(task_id, range, rows) per run of equal task_id and range in the ordered rows of a partition."""
+    import pandas as pd
+
+    carry = None
+    for batch in batches:
+        frame = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
+        if len(frame) == 0:
+            continue
+        key = frame["task_id"].fillna("\x00null").astype(str) + "\x00" + frame["_range"].astype(str)
+        cuts = (key != key.shift()).to_numpy().nonzero()[0].tolist() + [len(frame)]
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield frame.iloc[a:b]
+        carry = frame.iloc[cuts[-2] :].reset_index(drop=True)
+    if carry is not None and len(carry):
+        yield carry
+
+
+def _arrays(group):
+    import numpy as np
+
+    us = group["_us"].to_numpy(dtype=np.int64)
+    done = group["done"].to_numpy(dtype=np.float64, na_value=np.nan)
+    total = group["total"].to_numpy(dtype=np.float64, na_value=np.nan)
+    return us, done, total
+
+
+def _range_functions(batches, wait):
+    """Per partition: the function of its first task (it may go on an earlier range's task) and the last
+    kept time of its last task entered fresh (it may go on into the next range)."""
+    import pandas as pd
+
+    groups = list(_first_and_last(_groups(batches)))
+    rows = []
+    for i, g in enumerate(groups):
+        us, done, total = _arrays(g)
+        nxt, exit_, first_flag = _walk(us, done, total, wait)
+        task, rng = g["task_id"].iloc[0], int(g["_range"].iloc[0])
+        if i == 0:
+            head = int(min(len(us) - 1, first_flag, int(__import__("numpy").searchsorted(us, us[0] + wait, side="left"))))
+            rows.append((task, rng, True, us[: head + 1].tolist(), us[exit_[: head + 1]].tolist(), int(us[exit_[0]])))
+        if i == len(groups) - 1 and i > 0:
+            rows.append((task, rng, False, [], [], int(us[exit_[0]])))
+    yield pd.DataFrame(rows, columns=["task_id", "_range", "_first", "_at", "_out", "_fresh"])
+
+
+def _first_and_last(groups):
+    """The first and the last group of an iterator, without holding the ones between."""
+    first = last = None
+    for g in groups:
+        if first is None:
+            first = g
+        last = g
+    if first is not None:
+        yield first
+        if last is not first:
+            yield last
+
+
+def _chain(df, wait):
+    """Compose a task's range functions in range order; the entry time of each range after its first."""
+    import numpy as np
+    import pandas as pd
+
+    df = df.sort_values(["_range", "_first"], ascending=[True, False])
+    out, at = [], None
+    for _, r in df.drop_duplicates("_range", keep="first").iterrows():
+        if at is None:
+            at = int(r["_fresh"])
+            continue
+        out.append((r["task_id"], int(r["_range"]), at))
+        if len(r["_at"]):
+            ts = np.asarray(r["_at"], dtype=np.int64)
+            j = int(np.searchsorted(ts, at + wait, side="left"))
+            at = int(r["_out"][j]) if j < len(ts) else at
+        else:
+            at = int(r["_fresh"])
+    return pd.DataFrame(out, columns=["task_id", "_range", "_in"])
+
+
+def _kept_pings(batches, wait, entries):
+    import numpy as np
+
+    for g in _groups(batches):
+        us, done, total = _arrays(g)
+        nxt, _, first_flag = _walk(us, done, total, wait)
+        task = g["task_id"].iloc[0]
+        at = entries.get((None if task is None or task != task else task, int(g["_range"].iloc[0])))
+        i = _entry(us, first_flag, at, wait)
+        keep = np.zeros(len(us), dtype=bool)
+        while i < len(us):
+            keep[i] = True
+            i = int(nxt[i])
+        if keep.any():
+            yield g[keep]
 
 
 def rows_in_chunks(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:

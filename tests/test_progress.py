@@ -72,3 +72,26 @@ def test_chunks(spark, many_partitions):
     got = rows_in_chunks(df, "k", ["id"], 100).groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min("id"), F.max("pos"))
     sizes = {(r.k, r.chunk): (r.n, r["min(id)"], r["max(pos)"]) for r in got.collect()}
     assert sizes == {**{("hot", i): (100, i * 100, 99) for i in range(10)}, ("cold", 0): (5, 1000, 4)}
+
+
+def test_throttle_keeps_pings_of_a_null_task(spark, pings, many_partitions):
+    """A NULL task_id is one task: its pings are throttled, not lost; one task holds a third of all pings."""
+    rnd = random.Random(4)
+    extra, us = [], 1_700_000_000_000_000
+    for done in range(1, 1601):
+        us += rnd.choice([0, 200_000, 900_000, 2_500_000])
+        extra.append((None, us, done, 1600))
+    rows = pings + extra
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("us"))
+    kept = throttle_progress(df, 1.0).select("task_id", "us", "done", "total").collect()
+    key = lambda p: ("" if p[0] is None else "~" + p[0], p[1], p[2])
+    want = sorted(sequential([(t or "", u, d, n) for t, u, d, n in rows], 1_000_000), key=key)
+    got = sorted([(r.task_id or "", r.us, r.done, r.total) for r in kept], key=key)
+    assert got == want and any(t == "" for t, *_ in got)
+
+
+def test_throttle_of_equal_times_and_a_long_wait(spark, many_partitions):
+    rows = [("a", 5, d, 9) for d in range(1, 10)] + [("b", 10**6 * k, k, 40) for k in range(1, 41)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("us"))
+    kept = throttle_progress(df, 7.5).select("task_id", "us", "done", "total").collect()
+    assert sorted(map(tuple, kept)) == sequential(rows, 7_500_000)
