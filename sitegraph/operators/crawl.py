@@ -89,29 +89,27 @@ def expand_level(level: DataFrame, edges: DataFrame) -> DataFrame:
 def rank_sites(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Every URL each `start` discovers within its `budget`: start, url, rank, depth, parent_rank.
 
-    Level-synchronous; the driver only learns how many rows a level has. The unranked rows of each
-    level are checkpointed, so a lost executor costs at most the current level, and ranks are
-    computed from them where they are needed.
+    Level-synchronous; the driver only learns how many rows a level has. Each level is ranked once
+    and checkpointed with its ranks, so a lost executor costs at most the current level and no level
+    is computed twice.
     """
-    found = cut(
-        starts.selectExpr("start", "budget", "0L AS total", "start AS url", "0L AS parent_rank", "0 AS pos", "0 AS depth")
-    )
-    rows = found.count()
-    seen = found.select("start", "url")
-    done: list[DataFrame] = []
+    first = starts.selectExpr("start", "budget", "0L AS total", "start AS url", "0L AS parent_rank", "0 AS pos", "0 AS depth")
+    # each level is ranked once; its checkpoint carries the ranks to the next level and to the result
+    level = cut(bfs_rank(first))
+    rows = level.count()
+    seen = level.select("start", "url")
+    done: list[DataFrame] = [level]
     depth = 0
     while rows > 0:
-        level = bfs_rank(found)
-        done.append(level)
         depth += 1
         new = frontier_minus_seen(expand_level(level, edges), seen, ["start", "url"])
-        found = cut(new.withColumn("depth", F.lit(depth)))
-        rows = found.count()
-        seen = seen.union(found.select("start", "url"))
+        level = cut(bfs_rank(cut(new.withColumn("depth", F.lit(depth)))))
+        rows = level.count()
+        if rows:
+            done.append(level)
+            seen = seen.union(level.select("start", "url"))
         if depth % _COMPACT_EVERY == 0:
-            seen, done = cut(seen), [cut(reduce(DataFrame.union, done))]
-    if not done:
-        done = [bfs_rank(found)]
+            seen = cut(seen)  # the levels themselves are checkpoints already: their union stays a short plan
     return reduce(DataFrame.union, done).select("start", "url", "rank", "depth", "parent_rank")
 
 
