@@ -871,7 +871,7 @@ def stream_progress_throttle(spark, sf_dir):
     for arrival in (1, 2, 3):
         pings.where(third == arrival).write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(pings.schema).parquet(f"{base}/in")
-        writer = J.progress_throttle(arriving, f"{base}/out", f"{base}/state", SIX_HOURS)
+        writer = J.progress_throttle(arriving, f"{base}/out", SIX_HOURS)
         J.run_available(writer, f"{base}/checkpoint")
     return spark.read.schema(pings.schema).parquet(f"{base}/out").select(
         "task_id", F.unix_micros("ts").alias("us"), "done", "total"

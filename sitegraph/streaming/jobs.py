@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sitegraph.operators.delivery import flush_spool
 from sitegraph.operators.progress import throttle_progress
 from sitegraph.session import cut, hadoop_path
 
 LATE = "10 minutes"
+#: Milliseconds of arrivals without a ping after which a task's throttle state goes.
+IDLE_MS = 6 * 3600 * 1000
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -72,39 +75,57 @@ def read_counts(written: DataFrame) -> DataFrame:
     return latest.select("task_id", "start", "end", "v.*")
 
 
-def progress_throttle(pings: DataFrame, out: str, state: str, seconds: float = 1.0) -> DataStreamWriter:
-    """`throttle_progress` over micro-batches: kept pings to `out`, the last kept time per task to `state`.
+def progress_throttle(pings: DataFrame, out: str, seconds: float = 1.0, idle_ms: int = IDLE_MS) -> DataStreamWriter:
+    """`throttle_progress` over micro-batches, with the last kept time of each task in Spark's state store.
 
-    A micro-batch runs the batch operator behind one extra row per task, its last kept ping, so a
-    task with most of the pings is spread as in batch. A late ping takes part at the time of the last
-    kept one, but keeps its own `ts` in the output. State of batch n is written whole and read by
-    batch n + 1, and both are overwritten on a replay.
+    State is kept per task_id (NULL is a task like any other) by `applyInPandasWithState`: a micro-batch
+    reads and writes the state of the tasks it has pings for, nothing else. Each row is stamped with the
+    time its micro-batch started, and a watermark on that stamp drives an event-time timeout: a task's
+    state goes once no ping of it has arrived for `idle_ms`, so the store holds the tasks of recent
+    arrivals, not all tasks ever seen. A late ping takes part at the time of the last kept one, but
+    keeps its own `ts` in the output; a ping of a task whose state has gone starts it anew. Within a
+    micro-batch a task's pings meet in one group, so a batch's size bounds the largest group. Kept pings
+    go to `out`, one folder per micro-batch, overwritten on a replay.
     """
+    wait = int(seconds * 1_000_000)
+    columns = pings.columns
+    stamped = pings.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+    kept = stamped.groupBy("task_id").applyInPandasWithState(
+        lambda key, frames, state: _throttled(frames, state, wait, idle_ms),
+        stamped.schema,
+        "last long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return kept.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch.select(*columns), batch_id, out))
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = batch.columns
-        fresh = batch.withColumns({"_old": F.lit(False), "_given": F.col("ts")})
-        before = None
-        if batch_id > 0:
-            before = spark.read.schema("task_id string, last timestamp").parquet(f"{state}/batch_id={batch_id - 1}")
-            known = fresh.join(before, "task_id", "left")
-            fresh = known.withColumn("ts", F.greatest("ts", "last")).drop("last")
-            seeds = before.select(
-                "task_id",
-                F.col("last").alias("ts"),
-                F.lit(-1).cast("long").alias("done"),
-                F.lit(1 << 60).alias("total"),
-                F.lit(True).alias("_old"),
-            )
-            fresh = fresh.unionByName(seeds, allowMissingColumns=True)
-        kept = throttle_progress(fresh, seconds).persist()
-        write_batch(kept.where("not _old").withColumn("ts", F.col("_given")).select(*columns), batch_id, out)
-        last = kept.groupBy("task_id").agg(F.max("ts").alias("last"))
-        write_batch(last, batch_id, state)
-        kept.unpersist()
-
-    return pings.writeStream.foreachBatch(step)
+
+def _throttled(frames, state, wait: int, idle_ms: int):
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(frames), ignore_index=True)
+    last = state.get[0] if state.exists else None
+    rows = rows[rows["total"].fillna(1) > 1]
+    us = rows["ts"].astype("datetime64[us]").astype("int64")
+    rows = rows.assign(_us=us).sort_values(["_us", "done"], kind="stable")
+    keep = []
+    for at, done, total in zip(rows["_us"].tolist(), rows["done"].tolist(), rows["total"].tolist()):
+        at = at if last is None else max(at, last)
+        if last is None or at - last >= wait or (done == done and total == total and done == total):
+            keep.append(True)
+            last = at
+        else:
+            keep.append(False)
+    if last is not None:
+        state.update((last,))
+        arrived = int(rows["_arrived"].astype("datetime64[ms]").astype("int64").max()) if len(rows) else state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + idle_ms)
+    picked = rows[keep].drop(columns="_us")
+    if len(picked):
+        yield picked
 
 
 def log_tail(lines: DataFrame, out: str) -> DataStreamWriter:

@@ -20,7 +20,7 @@ def test_throttle_over_restarts(spark, tmp_path):
     for b in range(3):
         pings.where(F.col("done").between(20 * b + 1, 20 * b + 20)).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
-        writer = J.progress_throttle(stream, str(tmp_path / "out"), str(tmp_path / "state"), 1.0)
+        writer = J.progress_throttle(stream, str(tmp_path / "out"), 1.0)
         J.run_available(writer, str(tmp_path / "ck"))
     got = spark.read.schema(PINGS).parquet(str(tmp_path / "out"))
     want = throttle_progress(pings, 1.0)
@@ -32,7 +32,7 @@ def test_throttle_ignores_late_pings(spark, tmp_path):
         df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
         df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
-        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), str(tmp_path / "state"), 5.0), str(tmp_path / "ck"))
+        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), 5.0), str(tmp_path / "ck"))
 
     arrive([("a", 100, 1, 9), ("a", 107, 2, 9)])
     arrive([("a", 101, 3, 9), ("a", 110, 4, 9), ("a", 112, 5, 9), ("b", 1, 1, 9)])
@@ -61,7 +61,7 @@ def test_late_pings_keep_their_time(spark, tmp_path):
         df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
         df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
-        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), str(tmp_path / "state"), 5.0), str(tmp_path / "ck"))
+        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), 5.0), str(tmp_path / "ck"))
 
     arrive([("a", 120, 1, 9)])
     arrive([("a", 110, 9, 9)])  # completes the task, but comes late
@@ -115,3 +115,35 @@ def test_spool_retry_until_nothing_is_left(spark, tmp_path):
     J.flush_left(spark, replies(F.lit(None)), out, state, spool.schema, limit=4)
     assert settled() == list(range(10)) and J.read_spool_left(spark, state, spool.schema).count() == 0
     assert flush_totals(spark.read.parquet(out)).first().recovered == 10
+
+
+def test_throttle_state_holds_tasks_in_progress(spark, tmp_path):
+    """New tasks in every micro-batch: completed ones leave the state; a NULL task is throttled across batches."""
+    for b in range(20):
+        rows = [(f"t{b}", 10 * b + k, k, 4) for k in range(1, 5)] + [(None, 100 * b, b + 1, 99)]
+        df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
+        one = df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").coalesce(1)
+        one.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(PINGS).parquet(str(tmp_path / "in"))
+    query = J.progress_throttle(stream, str(tmp_path / "out"), 150.0, idle_ms=0).option("checkpointLocation", str(tmp_path / "ck"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) <= 3  # the NULL task, the task of this trigger and that of the one before
+    kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).collect()
+    # the NULL task has a ping in every trigger, so its state stays and its pings are throttled throughout
+    assert sorted(r.done for r in kept if r.task_id is None) == list(range(1, 21, 2))
+    assert len([r for r in kept if r.task_id is not None]) == 20 * 2  # first ping, and the one that completes
+
+
+def test_throttle_state_lingers_for_late_pings(spark, tmp_path):
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
+        df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
+        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), 5.0), str(tmp_path / "ck"))
+
+    arrive([(None, 100, 1, 9), (None, 101, 9, 9)])
+    arrive([(None, 102, 3, 9)])  # after the completing ping, within the idle time: throttled, not anew
+    kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.done for r in kept) == [1, 9]
