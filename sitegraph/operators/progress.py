@@ -47,22 +47,27 @@ _NONE = -(1 << 62)
 
 
 def _walk(us, done, total, wait):
-    """(next, exit): the next kept ping after each ping, and the last kept ping when entering at it."""
+    """(next, first_flag): the next kept ping after each ping, and the first ping that completes its task."""
     import numpy as np
 
     m = len(us)
-    last = (done == total) & ~np.isnan(done) & ~np.isnan(total)
-    after = np.searchsorted(us, us + wait, side="left")
-    after = np.maximum(after, np.arange(1, m + 1))
-    flag_next = np.full(m + 1, m, dtype=np.int64)
-    for i in range(m - 1, -1, -1):
-        flag_next[i] = i if last[i] else flag_next[i + 1]
-    nxt = np.minimum(after, flag_next[np.minimum(np.arange(1, m + 1), m)])
+    last = np.flatnonzero((done == total) & ~np.isnan(done) & ~np.isnan(total))
+    after = np.maximum(np.searchsorted(us, us + wait, side="left"), np.arange(1, m + 1))
+    at = np.searchsorted(last, np.arange(1, m + 1), side="left")
+    flag_after = np.where(at < len(last), last[np.minimum(at, max(len(last) - 1, 0))] if len(last) else m, m)
+    return np.minimum(after, flag_after), (int(last[0]) if len(last) else m)
+
+
+def _exits(nxt):
+    """The last kept ping of a walk that enters at each ping."""
+    import numpy as np
+
+    m = len(nxt)
     exit_ = np.arange(m)
     for i in range(m - 1, -1, -1):
         if nxt[i] < m:
             exit_[i] = exit_[nxt[i]]
-    return nxt, exit_, (int(flag_next[0]) if flag_next[0] < m else m)
+    return exit_
 
 
 def _entry(us, first_flag, at, wait):
@@ -83,8 +88,11 @@ def _groups(batches):
         frame = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
         if len(frame) == 0:
             continue
-        key = frame["task_id"].fillna("\x00null").astype(str) + "\x00" + frame["_range"].astype(str)
-        cuts = (key != key.shift()).to_numpy().nonzero()[0].tolist() + [len(frame)]
+        # the rows of a partition share one range: a group ends where the task changes (NULL equal to NULL)
+        task, before = frame["task_id"], frame["task_id"].shift()
+        change = (task != before) & ~(task.isna() & before.isna())
+        change.iloc[0] = True
+        cuts = change.to_numpy().nonzero()[0].tolist() + [len(frame)]
         for a, b in zip(cuts[:-2], cuts[1:-1]):
             yield frame.iloc[a:b]
         carry = frame.iloc[cuts[-2] :].reset_index(drop=True)
@@ -110,7 +118,8 @@ def _range_functions(batches, wait):
     rows = []
     for i, g in enumerate(groups):
         us, done, total = _arrays(g)
-        nxt, exit_, first_flag = _walk(us, done, total, wait)
+        nxt, first_flag = _walk(us, done, total, wait)
+        exit_ = _exits(nxt)
         task, rng = g["task_id"].iloc[0], int(g["_range"].iloc[0])
         if i == 0:
             head = int(min(len(us) - 1, first_flag, int(__import__("numpy").searchsorted(us, us[0] + wait, side="left"))))
@@ -159,7 +168,7 @@ def _kept_pings(batches, wait, entries):
 
     for g in _groups(batches):
         us, done, total = _arrays(g)
-        nxt, _, first_flag = _walk(us, done, total, wait)
+        nxt, first_flag = _walk(us, done, total, wait)
         task = g["task_id"].iloc[0]
         at = entries.get((None if task is None or task != task else task, int(g["_range"].iloc[0])))
         i = _entry(us, first_flag, at, wait)
