@@ -12,6 +12,11 @@ from sitegraph.session import fresh_path, hadoop_path
 
 #: Rows taken out of an Arrow batch at a time, so that long texts are not all held as Python objects.
 SLICE_ROWS = 256
+#: Bytes that one remembered table of a Python worker (chunks and their ids or scores, word hashes) may
+#: take; it is emptied when it would grow beyond. Two or three such tables live in a worker at once.
+TABLE_BYTES = 32 << 20
+#: Bytes a dict entry costs besides its key and value (hash slot, key and value objects).
+ENTRY_BYTES = 120
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

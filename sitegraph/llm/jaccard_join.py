@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import Scratch, as_text, slices
+from sitegraph.llm.common import ENTRY_BYTES, TABLE_BYTES, Scratch, as_text, slices
 from sitegraph.session import cut
 
 SHINGLE = 5
@@ -76,10 +76,14 @@ class Shingler:
     def __init__(self, limit: int = 500_000):
         self.limit = limit
         self.words: dict[str, int] = {}
+        self.size = 0
 
     def _hash(self, word: str) -> int:
-        if len(self.words) >= self.limit:
+        cost = ENTRY_BYTES + len(word)
+        if len(self.words) >= self.limit or self.size + cost > TABLE_BYTES:
             self.words.clear()
+            self.size = 0
+        self.size += cost
         h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         self.words[word] = h
         return h

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import as_text, crc_of_id, hash_bound, slices
+from sitegraph.llm.common import ENTRY_BYTES, TABLE_BYTES, as_text, crc_of_id, hash_bound, slices
 
 #: Bounds of the model: training documents per language, words and n-grams of each length kept per
 #: language (the most frequent), and languages (those with the most labelled documents).
@@ -105,13 +105,19 @@ class Scorer:
         self.matrix[first : first + len(chunks)] = scores
         self.rows.update(zip(chunks, range(first, first + len(chunks))))
 
+    def _room(self) -> int:
+        """Chunks the table may hold: by count, and by bytes (matrix rows, twice while it grows, and entries)."""
+        per_row = 2 * 8 * (len(self.model.languages) + 1) + ENTRY_BYTES + 16
+        return max(1024, min(self.limit, TABLE_BYTES // per_row))
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Per text the language and its posterior with equal priors; (und, 0) for a text without letters."""
-        if len(self.rows) > self.limit:
-            self._reset()
-        get = self.rows.get
         split = [text.split() for text in texts]
         new = dict.fromkeys(c for chunks in split for c in chunks if c not in self.rows)
+        if new and len(self.rows) + len(new) > self._room():
+            self._reset()
+            new = dict.fromkeys(c for chunks in split for c in chunks)
+        get = self.rows.get
         if new:
             self._add(list(new))
         totals = [self.matrix[list(map(get, c))].sum(axis=0) if c else np.zeros(1) for c in split]

@@ -12,6 +12,8 @@ import hashlib
 import re
 from array import array
 
+from sitegraph.llm.common import ENTRY_BYTES, TABLE_BYTES
+
 #: Chunks a worker keeps; the table is emptied when it is full. Longer chunks are not kept.
 MAX_CHUNKS = 500_000
 MAX_CHUNK_BYTES = 64
@@ -34,6 +36,7 @@ class WordTokens:
         self.letters = _byte_letters()
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def encode(self, data: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -55,9 +58,12 @@ class WordTokens:
             else:
                 ids = self._pack(self._word(chunk))
             if len(chunk) <= MAX_CHUNK_BYTES:
-                if len(self.known) >= self.limit:
+                cost = ENTRY_BYTES + len(chunk) + len(ids)
+                if len(self.known) >= self.limit or self.size + cost > TABLE_BYTES:
                     self.known.clear()
+                    self.size = 0
                 self.known[chunk] = ids
+                self.size += cost
         return ids
 
     def _word(self, chunk: bytes) -> list[int]:
