@@ -33,7 +33,8 @@ def throttle_progress(pings: DataFrame, seconds: float = 1.0) -> DataFrame:
     timed = many.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     placed = range_buckets(timed, ["task_id"], ["_us", "done"], "_range")
     ordered = placed.sortWithinPartitions(F.col("task_id").asc_nulls_first(), "_us", "done")
-    summaries = ordered.mapInPandas(lambda it: _range_functions(it, wait), _FUNCTIONS)
+    narrow = ordered.select("task_id", "_range", "_us", "done", "total")  # the first walk needs no other column
+    summaries = narrow.mapInPandas(lambda it: _range_functions(it, wait), _FUNCTIONS)
     chained = summaries.groupBy("task_id").applyInPandas(lambda key, df: _chain(df, wait), _ENTRIES).collect()
     # at most two rows per range: bounded by the number of partitions, not by the pings
     entries = {(r["task_id"], r["_range"]): r["_in"] for r in chained}
