@@ -20,6 +20,8 @@ from sitegraph.session import cut, hadoop_path
 LATE = "10 minutes"
 #: Milliseconds of arrivals without a ping after which a task's throttle state goes.
 IDLE_MS = 6 * 3600 * 1000
+#: Groups of tasks whose throttle states are kept together; a checkpoint holds on to the number it began with.
+TASK_BUCKETS = 1024
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -78,22 +80,24 @@ def read_counts(written: DataFrame) -> DataFrame:
 def progress_throttle(pings: DataFrame, out: str, seconds: float = 1.0, idle_ms: int = IDLE_MS) -> DataStreamWriter:
     """`throttle_progress` over micro-batches, with the last kept time of each task in Spark's state store.
 
-    State is kept per task_id (NULL is a task like any other) by `applyInPandasWithState`: a micro-batch
-    reads and writes the state of the tasks it has pings for, nothing else. Each row is stamped with the
-    time its micro-batch started, and a watermark on that stamp drives an event-time timeout: a task's
-    state goes once no ping of it has arrived for `idle_ms`, so the store holds the tasks of recent
-    arrivals, not all tasks ever seen. A late ping takes part at the time of the last kept one, but
-    keeps its own `ts` in the output; a ping of a task whose state has gone starts it anew. Within a
-    micro-batch a task's pings meet in one group, so a batch's size bounds the largest group. Kept pings
-    go to `out`, one folder per micro-batch, overwritten on a replay.
+    Tasks (NULL is a task like any other) are hashed into `TASK_BUCKETS`, the keys of
+    `applyInPandasWithState`: what a call costs besides its rows is paid per bucket, not per task. A
+    micro-batch reads and writes the state of the buckets it has pings for, nothing else. Each row is stamped
+    with the time its micro-batch started, and a watermark on that stamp drives an event-time timeout: a task
+    leaves its bucket, and a bucket without tasks the store, once no ping has arrived for `idle_ms`, so the
+    store holds the tasks of recent arrivals, not all tasks ever seen. A late ping takes part at the time of
+    the last kept one, but keeps its own `ts` in the output; a ping of a task whose state has gone starts it
+    anew. Within a micro-batch a bucket's pings meet in one group, so a batch's size bounds the largest group.
+    Kept pings go to `out`, one folder per micro-batch, overwritten on a replay.
     """
     wait = int(seconds * 1_000_000)
     columns = pings.columns
     stamped = pings.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
-    kept = stamped.groupBy("task_id").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(TASK_BUCKETS)).cast("int")
+    kept = stamped.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
         lambda key, frames, state: _throttled(frames, state, wait, idle_ms),
         stamped.schema,
-        "last long",
+        "tasks array<string>, lasts array<long>, until array<long>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -101,33 +105,52 @@ def progress_throttle(pings: DataFrame, out: str, seconds: float = 1.0, idle_ms:
 
 
 def _throttled(frames, state, wait: int, idle_ms: int):
+    """The kept pings of a bucket; its state is each task's last kept time and the time it is forgotten at."""
+    import numpy as np
     import pandas as pd
 
-    if state.hasTimedOut:
+    known = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+    now = max(0, state.getCurrentWatermarkMs())
+    rows, picked = [], None
+    if not state.hasTimedOut:
+        rows = pd.concat(list(frames), ignore_index=True).drop(columns="_bucket")
+        known |= {t: (known[t][0], now + idle_ms) for t in map(_task, rows["task_id"].unique()) if t in known}
+        rows = rows[rows["total"].fillna(1) > 1]
+    if len(rows):
+        us = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        codes, names = pd.factorize(rows["task_id"], use_na_sentinel=False)
+        order = np.lexsort((rows["done"].to_numpy(np.float64, na_value=np.nan), us, codes))
+        rows, codes = rows.iloc[order], codes[order]
+        arrived = max(int(rows["_arrived"].astype("datetime64[ms]").astype("int64").max()), now)
+        starts = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+        times, dones, totals = us[order].tolist(), rows["done"].tolist(), rows["total"].tolist()
+        keep = np.zeros(len(rows), bool)
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            task = _task(names[codes[a]])
+            last = known[task][0] if task in known else None
+            for k in range(a, b):
+                at = times[k] if last is None else max(times[k], last)
+                done, total = dones[k], totals[k]
+                if last is None or at - last >= wait or (done == done and total == total and done == total):
+                    keep[k] = True
+                    last = at
+            known[task] = (last, arrived + idle_ms)
+        picked = rows[keep]
+    left = {t: v for t, v in known.items() if v[1] >= now}
+    if left:
+        lasts, until = zip(*left.values())
+        state.update((list(left), list(lasts), list(until)))
+        state.setTimeoutTimestamp(max(1, min(until)))
+    elif state.exists:
         state.remove()
-        return
-    rows = pd.concat(list(frames), ignore_index=True)
-    last = state.get[0] if state.exists else None
-    rows = rows[rows["total"].fillna(1) > 1]
-    us = rows["ts"].astype("datetime64[us]").astype("int64")
-    rows = rows.assign(_us=us).sort_values(["_us", "done"], kind="stable")
-    keep = []
-    for at, done, total in zip(rows["_us"].tolist(), rows["done"].tolist(), rows["total"].tolist()):
-        at = at if last is None else max(at, last)
-        if last is None or at - last >= wait or (done == done and total == total and done == total):
-            keep.append(True)
-            last = at
-        else:
-            keep.append(False)
-    if last is not None:
-        state.update((last,))
-        arrived = int(rows["_arrived"].astype("datetime64[ms]").astype("int64").max()) if len(rows) else state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + idle_ms)
-    picked = rows[keep].drop(columns="_us")
-    if len(picked):
+    if picked is not None and len(picked):
         yield picked
 
 
+def _task(name) -> str | None:
+    return name if isinstance(name, str) else None
+
+
 def log_tail(lines: DataFrame, out: str) -> DataStreamWriter:
     """Append log lines as their files land; `lines` comes from `sources.logs.stream_log`."""
     return lines.writeStream.format("parquet").option("path", out).outputMode("append")

@@ -147,3 +147,43 @@ def test_throttle_state_lingers_for_late_pings(spark, tmp_path):
     arrive([(None, 102, 3, 9)])  # after the completing ping, within the idle time: throttled, not anew
     kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).collect()
     assert sorted(r.done for r in kept) == [1, 9]
+
+
+def test_throttle_state_is_kept_by_bucket(spark, tmp_path):
+    """The store's rows, and the calls for them, do not grow with the tasks beyond the buckets."""
+    tasks = 3 * J.TASK_BUCKETS
+    for b in range(2):
+        rows = spark.range(tasks).select(
+            F.concat(F.lit("t"), "id").alias("task_id"), F.timestamp_seconds(F.col("id") + 4 * b).alias("ts"),
+            F.lit(b + 1).cast("long").alias("done"), F.lit(9).cast("long").alias("total"),
+        )
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(PINGS).parquet(str(tmp_path / "in"))
+    query = J.progress_throttle(stream, str(tmp_path / "out"), 5.0).option("checkpointLocation", str(tmp_path / "ck"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= J.TASK_BUCKETS
+    kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out"))
+    assert kept.groupBy("done").count().collect() == [(1, tasks)]  # four seconds later is too soon for all
+
+
+def test_throttle_of_tasks_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    """Each task is throttled for itself, and leaves the bucket when it is idle though the bucket is not."""
+    monkeypatch.setattr(J, "TASK_BUCKETS", 1)
+    batches = [
+        [("a", 100, 1, 9), ("b", 103, 1, 9), (None, 104, 1, 9), ("c", 1, 1, 1), ("a", 104, 2, 9), ("b", 108, 2, None)],
+        [("b", 109, 3, 9), (None, 110, 2, 9), (None, 110, 9, 9)],
+        [("b", 112, 4, 9), (None, 112, 3, 9)],
+        [("b", 120, 5, 9), (None, 113, 4, 9)],
+        [("b", 121, 9, 9), ("a", 104, 3, 9)],  # a was idle for three batches and starts anew
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "task_id string, s long, done long, total long")
+        one = df.select("task_id", F.timestamp_seconds("s").alias("ts"), "done", "total").coalesce(1)
+        one.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(PINGS).parquet(str(tmp_path / "in"))
+        J.run_available(J.progress_throttle(stream, str(tmp_path / "out"), 5.0, idle_ms=1), str(tmp_path / "ck"))
+    kept = spark.read.schema(PINGS).parquet(str(tmp_path / "out")).collect()
+    by = {t: sorted(r.done for r in kept if r.task_id == t) for t in ("a", "b", "c", None)}
+    assert by == {"a": [1, 3], "b": [1, 3, 5, 9], "c": [], None: [1, 2, 9]}
