@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -43,10 +46,21 @@ def hash_bound(rows: int, wanted: int) -> int:
     return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
 
 
+def give_back() -> None:
+    """Return what earlier tasks and batches have freed to the system: workers are used again, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
