@@ -2,6 +2,8 @@
 
 Texts are cut into words; five words in a row are a shingle. For each template size, every window of
 about that many shingles gets MinHash values; two in a band equal to a template's retrieve it. A
+minimum equal to a template's is the hash of the shingle that gave the template its minimum, so only
+windows around such shingles are hashed; no other window can share a band with a template. A
 retrieved window matches if it holds at least `least` of the template's shingles, compared as words.
 The number of bands follows from the likeness a matching window has at least (see `bands_for`).
 Windows are made and looked up in the task that scans the text; templates are a bounded parameter.
@@ -13,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,6 @@ COLLISION = 0.999
 #: Bounds of the template table, checked when it is read.
 MAX_TEMPLATES = 5_000
 MAX_TEMPLATE_WORDS = 20_000
-MAX_WORDS = 400_000
 
 # Short notices of public licenses, by SPDX id.
 TEMPLATES = {
@@ -75,6 +77,38 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words: their length in bytes, then eight bytes at a time."""
+    data = [w.encode() for w in words]
+    lengths = np.array([len(d) for d in data], np.int64)
+    h = lengths.astype(np.uint64)
+    parts = (lengths + 7) // 8
+    flat = np.frombuffer(b"".join([d.ljust((len(d) + 7) // 8 * 8, b"\0") for d in data]), "<u8").astype(np.uint64)
+    first = np.cumsum(parts) - parts
+    left = np.flatnonzero(parts)
+    k = 0
+    while len(left):
+        h[left] = _mixed(h[left] + flat[first[left] + k])
+        k += 1
+        left = left[parts[left] > k]
+    return h
+
+
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if len(keys) == 0:
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _windows_over(places: np.ndarray, step: int, reach: int, windows: int) -> np.ndarray:
+    """Numbers of the windows, `reach` wide at multiples of `step`, that hold one of the places."""
+    covered = np.zeros(windows + 1, np.int32)
+    np.add.at(covered, np.minimum(np.maximum(0, -((reach - 1 - places) // step)), windows), 1)
+    np.add.at(covered, np.minimum(places // step + 1, windows), -1)
+    return np.flatnonzero(np.cumsum(covered[:windows]))
+
+
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """Hashes of all shingles of word hashes, in order."""
     n = len(words) - SHINGLE + 1
@@ -115,8 +149,6 @@ class Scanner:
         seeds = np.random.default_rng(20_000).integers(1, 2**63, self.bands * ROWS, dtype=np.uint64)
         self.seeds = seeds | np.uint64(1)
         self.names = sorted(templates)
-        self.words: dict[str, int] = {}
-        self.hashes = np.zeros(1024, np.uint64)
         self.shingles: list[set[tuple[str, ...]]] = []
         self.widths: list[int] = []
         by_width: dict[int, list[int]] = {}
@@ -126,52 +158,47 @@ class Scanner:
             if not SHINGLE <= len(words) <= MAX_TEMPLATE_WORDS:
                 raise ValueError(f"template {name} has {len(words)} words")
             self.shingles.append({tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
-            hashes.append(shingle_hashes(self.word_hashes([words])))
+            hashes.append(shingle_hashes(word_hashes(words)))
             self.widths.append(width_for(len(words) - SHINGLE + 1))
             by_width.setdefault(self.widths[-1], []).append(k)
+        known = sorted({w for own in self.shingles for shingle in own for w in shingle})
+        #: number and hash of each word of the templates
+        self.numbers = {w: n for n, w in enumerate(known)}
+        self.known = word_hashes(known)
         #: per width: per band the sorted keys and the template of each
         self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        #: per width: the sorted hashes of the shingles that are some template's minimum under some seed
+        self.minima: dict[int, np.ndarray] = {}
         for width, own in by_width.items():
-            mins = [[_mixed(hashes[k] * s).min() for s in self.seeds] for k in own]
+            mixed = {k: [_mixed(hashes[k] * s) for s in self.seeds] for k in own}
+            mins = [[m.min() for m in mixed[k]] for k in own]
+            self.minima[width] = np.unique([hashes[k][m.argmin()] for k in own for m in mixed[k]])
             bands = []
             for b in range(self.bands):
                 keys = np.array([self._key(m[ROWS * b], m[ROWS * b + 1]) for m in mins], np.uint64)
                 order = keys.argsort()
                 bands.append((keys[order], np.array(own)[order]))
             self.index[width] = bands
+        self.all_minima = np.unique(np.concatenate([*self.minima.values(), np.zeros(0, np.uint64)]))
 
     @staticmethod
     def _key(a, b):
         return a ^ (b << np.uint64(1))
 
-    def word_hashes(self, texts: list[list[str]]) -> np.ndarray:
-        """Hashes of the words of several texts in one array; after each text, hashes that occur nowhere else."""
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
-        numbers: list[int] = []
-        for words in texts:
-            for w in dict.fromkeys(words):
-                if w not in self.words:
-                    self._add(w)
-            numbers.extend(map(self.words.__getitem__, words))
-            if len(texts) > 1:
-                numbers.extend([-1] * SHINGLE)
-        at = np.array(numbers, np.int64)
-        hashes = self.hashes[at]
-        gaps = np.flatnonzero(at < 0)
-        hashes[gaps] = _mixed(np.arange(len(gaps), dtype=np.uint64) + np.uint64(1 << 40))
-        return hashes
-
-    def _add(self, word: str) -> None:
-        at = len(self.words)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        data = word.encode()
-        h = np.array([len(data)], np.uint64)
-        for k in range(0, len(data), 8):
-            h = _mixed(h + np.uint64(int.from_bytes(data[k : k + 8], "little")))
-        self.hashes[at] = h[0]
-        self.words[word] = at
+    def _places(self, words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the shingles that are some template's minimum. None is no word."""
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        n = len(words) - SHINGLE + 1
+        whole = numbers >= 0
+        run = whole[:n].copy()
+        for k in range(1, SHINGLE):
+            run &= whole[k : k + n]
+        at = np.flatnonzero(run)
+        hashes = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            hashes = _mixed(hashes + self.known[numbers[at + k]])
+        held = _among(hashes, self.all_minima)
+        return at[held], hashes[held]
 
     def candidates(self, texts: list[list[str]]) -> set[tuple[int, int, int]]:
         """(text, window start, template) of all windows that share a band with a template.
@@ -180,25 +207,58 @@ class Scanner:
         one, so that each passage of w shingles lies in one of them.
         """
         found: set[tuple[int, int, int]] = set()
-        hashes = shingle_hashes(self.word_hashes(texts))
-        starts = np.cumsum([0, *(len(w) + (SHINGLE if len(texts) > 1 else 0) for w in texts)])
-        for b in range(self.bands):
-            first, second = (_mixed(hashes * self.seeds[ROWS * b + j]) for j in range(ROWS))
-            for width, bands in self.index.items():
-                step = max(1, width // 8)
-                if len(hashes) == 0:
-                    continue
-                a, c = (sliding_min(v, min(width + step - 1, len(v)))[::step] for v in (first, second))
+        gap = SHINGLE if len(texts) > 1 else 0
+        words: list[str | None] = []
+        for own in texts:
+            words.extend(own)
+            words.extend([None] * gap)
+        n = len(words) - SHINGLE + 1
+        if n <= 0:
+            return found
+        starts = np.cumsum([0, *(len(w) + gap for w in texts)])
+        places, place_hashes = self._places(words)
+        for width, bands in self.index.items():
+            step = max(1, width // 8)
+            reach = min(width + step - 1, n)
+            held = places[_among(place_hashes, self.minima[width])]
+            windows = _windows_over(held, step, reach, (n - reach) // step + 1)
+            if len(windows) == 0:
+                continue
+            # the shingles of these windows, neighbours next to each other
+            needed = np.zeros(n + 1, np.int32)
+            np.add.at(needed, windows * step, 1)
+            np.add.at(needed, windows * step + reach, -1)
+            shingles = np.flatnonzero(np.cumsum(needed[:n]))
+            hashes = self._hashes_at(words, shingles, starts, gap)
+            first_of = np.searchsorted(shingles, windows * step)
+            for b in range(self.bands):
+                first, second = (_mixed(hashes * self.seeds[ROWS * b + j]) for j in range(ROWS))
+                a, c = (sliding_min(v, reach)[first_of] for v in (first, second))
                 keys, templates = bands[b]
-                windows = self._key(a, c)
-                hit = np.flatnonzero(np.isin(windows, keys))
-                for w in hit:
-                    lo, hi = np.searchsorted(keys, windows[w]), np.searchsorted(keys, windows[w], side="right")
-                    at = int(w) * step
+                values = self._key(a, c)
+                for w in np.flatnonzero(_among(values, keys)):
+                    lo, hi = np.searchsorted(keys, values[w]), np.searchsorted(keys, values[w], side="right")
+                    at = int(windows[w]) * step
                     text = int(np.searchsorted(starts, at, side="right")) - 1
                     found.update((text, at - int(starts[text]), int(k)) for k in templates[lo:hi])
         return found
 
+    @staticmethod
+    def _hashes_at(words: list[str | None], shingles: np.ndarray, starts: np.ndarray, gap: int) -> np.ndarray:
+        """Hashes of the shingles at some positions; after each text, words that occur nowhere else."""
+        at = np.unique(shingles[:, None] + np.arange(SHINGLE))
+        own = [words[k] for k in at.tolist()]
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        hashes = word_hashes(["" if w is None else w for w in numbers])[[numbers[w] for w in own]]
+        gaps = np.flatnonzero([w is None for w in own])
+        text = np.searchsorted(starts, at[gaps], side="right")  # numbered from 1
+        hashes[gaps] = _mixed((gap * text - (starts[text] - at[gaps])).astype(np.uint64) + np.uint64(1 << 40))
+        first = np.searchsorted(at, shingles)
+        h = np.zeros(len(shingles), np.uint64)
+        for k in range(SHINGLE):
+            h = _mixed(h + hashes[first + k])
+        return h
+
     def scan(self, texts: list[str]) -> list[list[Match]]:
         """Matches of each text: per template, the windows that hold most of it, without overlaps."""
         split = [words_of(t) for t in texts]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitegraph.llm import license_scan
 from sitegraph.llm.license_scan import (
     SHINGLE, TEMPLATES, Scanner, bands_for, license_matches, sliding_min, width_for, words_of,
 )
@@ -72,6 +73,18 @@ def test_one_scan_of_many_texts_is_many_scans_of_one():
     assert [len(m) for m in scanner.scan(texts)] == [1, 0, 0, 0, 2]
 
 
+def test_only_windows_around_template_shingles_are_hashed(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(_prose(rng, 20_000)) for _ in range(3)]
+    texts[1] = f"{texts[0]} {TEMPLATES['GPL-3.0-program']} {texts[2]}"
+    hashed = []
+    monkeypatch.setattr(license_scan, "sliding_min", lambda v, width: hashed.append(len(v)) or sliding_min(v, width))
+    scanner = Scanner(TEMPLATES, 0.8)
+    found = scanner.scan(texts)
+    assert [[(m.template, m.first_word) for m in own] for own in found] == [[], [("GPL-3.0-program", 20_000)], []]
+    assert sum(hashed) < 2 * 56 * 200  # values under all seeds; 80,000 words under each before
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 4, 6, 8, 12, 48])
 def test_sliding_min(width):
     values = np.random.default_rng(1).integers(0, 1000, 200)
