@@ -68,6 +68,39 @@ def test_word_ids_are_the_library_s(text, words, library):
     assert _ids(words.encode(text.encode())) == library.encode(text, add_special_tokens=False).ids
 
 
+class _Counted:
+    """The library, with the texts it encodes and the matches its model cuts."""
+
+    def __init__(self, library):
+        self.own, self.model, self.encoded, self.cut = library, self, [], []
+
+    def encode(self, text, **options):
+        self.encoded.append(text)
+        return self.own.encode(text, **options)
+
+    def tokenize(self, letters):
+        self.cut.append(letters)
+        return self.own.model.tokenize(letters)
+
+
+def test_plain_chunks_are_cut_by_match(library):
+    words = WordTokens(WORD)
+    words.library = _Counted(library)
+    for text in ["Den%%% schöne; the*** don't (12) a_b", "The, DEN the*** SCHÖNE%%% don't, b_a"]:
+        assert _ids(words.encode(text.encode())) == library.encode(text, add_special_tokens=False).ids
+    assert not words.library.encoded
+    assert len(words.library.cut) == len(set(words.library.cut))
+
+
+def test_frequent_words_outlive_a_full_table(library):
+    words = WordTokens(WORD, limit=50)
+    words.library = _Counted(library)
+    for k in range(40):
+        text = "the " + " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}" for j in range(20))
+        assert _ids(words.encode(text.encode())) == library.encode(text, add_special_tokens=False).ids
+    assert words.library.cut.count("the") == 1 and len(words.known) + len(words.older) <= 50
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=TEXT)
 def test_byte_ids_are_the_library_s(text, tree, tiktoken_encoding):
